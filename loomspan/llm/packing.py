@@ -8,6 +8,7 @@ The plan equals the one-document-at-a-time algorithm: equal lengths are intercha
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,32 +29,60 @@ END_ID = 1
 CACHE_WORDS, CACHE_CHARS = 300_000, 64
 
 
+#: A word of Latin letters that no normal form changes, and what may follow it without joining it.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class Encoder:
     """Ids of whole texts, word by word.
 
-    The tokenizer never joins characters across a space or newline, so the ids of a text are
-    those of its space-separated words in turn; repeated words are encoded once.
+    The tokenizer never joins characters across a space or newline, so the ids of a text are those
+    of its space-separated parts in turn, and repeated ones are encoded once. Of a part that is a
+    plain word with punctuation after it, the word goes straight to the vocabulary's merges, in the
+    tokenizer's byte alphabet: its normaliser would only lower the case, and its pre-tokeniser only
+    part the punctuation. All other parts take the tokenizer's whole way.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
-
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {"": b""}
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_of = {c: alphabet.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.parts, self.words = {"": b""}, {"": b""}
+
+    def word(self, text: str) -> bytes:
+        got = self.words.get(text)
+        if got is None:
+            got = array("I", [t.id for t in self.tokenize(text.translate(self.bytes_of))]).tobytes()
+            if len(text) <= CACHE_CHARS:
+                self.words[text] = got
+        return got
 
     def __call__(self, texts: list[str | None], end: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with `end` after them."""
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {"": b""}
-        known, tail = self.cache, array("I", [end]).tobytes()
-        missing = list(set().union(*parts) - known.keys())
+        texts_parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        for cache in (self.parts, self.words):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+                cache[""] = b""
+        known, tail = self.parts, array("I", [end]).tobytes()
         rare: dict[str, bytes] = {}
-        for word, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            (known if len(word) <= CACHE_CHARS else rare)[word] = array("I", e.ids).tobytes()
+        other = []
+        for part in set().union(*texts_parts) - known.keys():
+            m = _PLAIN.fullmatch(part)
+            if m:
+                (known if len(part) <= CACHE_CHARS else rare)[part] = self.word(m[1].lower()) + self.word(m[2])
+            else:
+                other.append(part)
+        for part, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            (known if len(part) <= CACHE_CHARS else rare)[part] = array("I", e.ids).tobytes()
         if rare:
-            return [b"".join([known[w] if w in known else rare[w] for w in p]) + tail for p in parts]
+            return [b"".join([known[w] if w in known else rare[w] for w in p]) + tail for p in texts_parts]
         get = known.__getitem__
-        return [b"".join(map(get, p)) + tail for p in parts]
+        return [b"".join(map(get, p)) + tail for p in texts_parts]
 
 
 _encoders: dict[str, Encoder] = {}
