@@ -37,21 +37,26 @@ def _hash(word: str) -> int:
     return zlib.crc32(word.encode()) | zlib.crc32(word[:STEM].encode()) << 32
 
 
-def features(text: str | None) -> np.ndarray:
-    """Distinct feature numbers of the whole text: words, stems, neighbouring pairs, pairs with a gap of one."""
+def hashed(text: str | None) -> np.ndarray:
+    """Feature numbers of the whole text, with repeats: words, stems, neighbouring pairs, pairs with a gap of one."""
     words = _WORD.findall((text or "").lower())
     if not words:
         return np.empty(0, np.int64)
-    if len(_hashes) > 300_000:
+    if len(_hashes) > 200_000:
         _hashes.clear()
-    for w in set(words) - _hashes.keys():
-        if len(w) <= 64:
-            _hashes[w] = _hash(w)
-    both = np.array([_hashes[w] if w in _hashes else _hash(w) for w in words], np.uint64)
+    rare = {}
+    for w in set(words):
+        if w not in _hashes:
+            (_hashes if len(w) <= 64 else rare)[w] = _hash(w)
+    both = np.array([_hashes[w] if w in _hashes else rare[w] for w in words], np.uint64) if rare else np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     h, stem = both & _LOW, both >> np.uint64(32)
     keys = [h * _MIX, stem * _STEM, h[:-1] * _PAIR + h[1:] * _MIX, h[:-2] * _SKIP + h[2:] * _MIX]
     mixed = np.concatenate([k ^ (k >> np.uint64(29)) for k in keys]) * _MIX
-    return np.unique(mixed >> np.uint64(64 - BITS)).astype(np.int64)
+    return (mixed >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def features(text: str | None) -> np.ndarray:
+    return np.unique(hashed(text))
 
 
 def _fit(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +119,8 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], threshold: fl
         dense = np.zeros((1 << BITS) + 1)
         dense[at] = value
         for b in it:
-            s = np.array([dense[features(t)].sum() for t in b.column("text").to_pylist()]) + dense[-1]
+            found = (hashed(t) for t in b.column("text").to_pylist())
+            s = np.array([dense[np.unique(x[dense[x] != 0])].sum() for x in found]) + dense[-1]
             p = 1 / (1 + np.exp(-np.clip(s, -35, 35)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
