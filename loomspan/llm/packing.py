@@ -26,7 +26,7 @@ from loomspan.llm.common import batches, only, pin
 CAPACITY = 4096
 END_ID = 1
 #: Entries kept of the word-to-ids cache, and the longest word that is kept in it.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+CACHE_WORDS, CACHE_CHARS = 250_000, 64
 
 
 #: A word of Latin letters that no normal form changes, and what may follow it without joining it.
@@ -51,7 +51,7 @@ class Encoder:
         self.tokenize = self.tokenizer.model.tokenize
         alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_of = {c: alphabet.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        self.parts, self.words = {"": b""}, {"": b""}
+        self.words = {"": b""}
 
     def word(self, text: str) -> bytes:
         got = self.words.get(text)
@@ -64,24 +64,18 @@ class Encoder:
     def __call__(self, texts: list[str | None], end: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with `end` after them."""
         texts_parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        for cache in (self.parts, self.words):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-                cache[""] = b""
-        known, tail = self.parts, array("I", [end]).tobytes()
-        rare: dict[str, bytes] = {}
-        other = []
-        for part in set().union(*texts_parts) - known.keys():
+        if len(self.words) > CACHE_WORDS:
+            self.words = {"": b""}
+        known, other = {}, []
+        for part in set().union(*texts_parts):
             m = _PLAIN.fullmatch(part)
             if m:
-                (known if len(part) <= CACHE_CHARS else rare)[part] = self.word(m[1].lower()) + self.word(m[2])
+                known[part] = self.word(m[1].lower()) + self.word(m[2])
             else:
                 other.append(part)
         for part, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            (known if len(part) <= CACHE_CHARS else rare)[part] = array("I", e.ids).tobytes()
-        if rare:
-            return [b"".join([known[w] if w in known else rare[w] for w in p]) + tail for p in texts_parts]
-        get = known.__getitem__
+            known[part] = array("I", e.ids).tobytes()
+        get, tail = known.__getitem__, array("I", [end]).tobytes()
         return [b"".join(map(get, p)) + tail for p in texts_parts]
 
 
