@@ -162,7 +162,8 @@ def normalise(archives: DataFrame) -> DataFrame:
     def batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    ordered = archives.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "archive").sortWithinPartitions("archive", "chunk")
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), archives.select("archive").distinct().count())
+    ordered = archives.repartition(partitions, "archive").sortWithinPartitions("archive", "chunk")
     return ordered.mapInArrow(run, "archive long, record int, record_id string, offset long, length int, data binary")
 
 
