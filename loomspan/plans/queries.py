@@ -1,11 +1,170 @@
-"""The queries over the relational tables, and their SQL."""
+"""Queries over the relational tables: the engine's operators on plain data, each beside its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspan.functions.text import guard
+from loomspan.operators import relational as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "join_aggregate"
+
+
+def query(sql: str) -> Callable:
+    def add(f: Callable[..., DataFrame]) -> Callable:
+        tables = f.__code__.co_varnames[: f.__code__.co_argcount]
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
+
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = run, sql
+        return f
+
+    return add
+
+
+def money(c: str) -> Column:
+    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+
+
+@query("""SELECT r_name, n_name, count(*) AS orders, sum(o_totalprice::decimal(18,2))::double AS total
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
+def join_aggregate(orders, customer, nation, region):
+    small = F.broadcast(nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name"))  # 25 rows at any scale
+    who = customer.join(small, customer.c_nationkey == small.n_nationkey).select("c_custkey", "n_name", "r_name")
+    return orders.join(who, orders.o_custkey == who.c_custkey).groupBy("r_name", "n_name").agg(F.count("*").alias("orders"), money("o_totalprice").alias("total"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 45)")
+def unused_anti_join(part, lineitem):
+    return R.used_anti(part.select("p_partkey", "p_name"), lineitem.where("l_quantity >= 45").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def exists_semi_join(customer, orders):
+    urgent = orders.where(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("c_custkey"))
+    return customer.join(urgent, "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("""SELECT sha256(text) AS hash, count(*) AS n, count(DISTINCT doc_id) AS places, CASE WHEN count(DISTINCT source) <= 1 THEN 'high' ELSE 'medium' END AS confidence
+FROM documents GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT doc_id) >= 2""")
+def duplicate_definitions(documents):
+    return R.duplicate_groups(documents.select("doc_id", "source", F.sha2("text", 256).alias("hash")), ["hash"], "doc_id", 2, 2, "source")
+
+
+@query("""SELECT event_type, round(value)::bigint AS literal, count(*) AS n, count(DISTINCT user_id) AS places, 'high' AS confidence
+FROM events GROUP BY 1, 2 HAVING count(*) >= 1 AND count(DISTINCT user_id) >= 3""")
+def duplicate_constants(events):
+    return R.duplicate_groups(events.select("event_type", "user_id", F.round("value").cast("long").alias("literal")), ["event_type", "literal"], "user_id", 1, 3)
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::int AS rank FROM orders) WHERE rank <= 3")
+def top_per_group(orders):
+    return R.top_per_group(orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
+
+
+@query("""SELECT o_orderstatus, o_orderkey, place::int AS place FROM (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS place,
+count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders) WHERE place % greatest(1, ceil(n / 200)) = 0""")
+def stride_sample(orders):
+    return R.stride_sample(orders.select("o_orderstatus", "o_orderkey"), ["o_orderstatus"], [F.asc("o_orderkey")], 200)
+
+
+@query("""WITH pre AS (SELECT DISTINCT regexp_extract(p_type, '^\\S+') AS prefix FROM part WHERE p_size < 25 UNION SELECT DISTINCT regexp_extract(p_type, '^\\S+ \\S+') FROM part WHERE p_size < 3)
+SELECT p_partkey, p_type, (SELECT max_by(prefix, length(prefix)) FROM pre WHERE prefix <> '' AND (p_type = prefix OR starts_with(p_type, prefix || ' '))) AS prefix FROM part""")
+def longest_prefix_join(part):
+    one = part.where("p_size < 25").select(F.regexp_extract("p_type", r"^\S+", 0).alias("prefix"))
+    two = part.where("p_size < 3").select(F.regexp_extract("p_type", r"^\S+ \S+", 0).alias("prefix"))
+    return R.longest_prefix(part.select("p_partkey", "p_type"), "p_type", one.union(two).where("prefix <> ''").distinct(), "prefix")
+
+
+@query("""SELECT event_id, user_id FROM events e WHERE EXISTS (SELECT 1 FROM events o WHERE o.event_type = 'purchase' AND o.user_id = e.user_id AND e.event_id BETWEEN o.event_id - 500 AND o.event_id + 500)""")
+def containment_range_join(events):
+    spans = events.where(F.col("event_type") == "purchase").select("user_id", (F.col("event_id") - 500).alias("start"), (F.col("event_id") + 500).alias("end"))
+    return R.contained(events.select("event_id", "user_id"), spans, "user_id", "event_id", "start", "end")
+
+
+_EDGES = "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_quantity >= 48 AND l_partkey <= (SELECT max(s_suppkey) FROM supplier)"
+
+
+def _edges(lineitem, supplier):
+    most = supplier.agg(F.max("s_suppkey").alias("most"))
+    return lineitem.where("l_quantity >= 48").join(F.broadcast(most), F.col("l_partkey") <= F.col("most")).select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+
+
+@query(f"WITH RECURSIVE e AS ({_EDGES}), r(node) AS (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 2 UNION SELECT dst FROM e JOIN r ON src = node) SELECT node FROM r")
+def reachability(lineitem, supplier):
+    return R.reachable(_edges(lineitem, supplier), supplier.where("s_suppkey <= 2").select(F.col("s_suppkey").alias("node")))
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES.replace('48', '50')}), b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r(node, root) AS (SELECT a, a FROM b UNION SELECT b.b, root FROM b JOIN r ON a = node)
+SELECT node, min(root) AS component FROM r GROUP BY node""")
+def connected_components(lineitem, supplier):
+    return R.components(_edges(lineitem.where("l_quantity >= 50"), supplier))
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES.replace('48', '50')}), r(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM r JOIN e ON b = src)
+SELECT x.a AS node, min(x.b) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(DISTINCT x.b) > 1""")
+def strong_components(lineitem, supplier):
+    return R.strongly_connected(_edges(lineitem.where("l_quantity >= 50"), supplier))
+
+
+@query("""SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL HAVING count(*) >= 3""")
+def shadowed_pairs(lineitem, orders, customer, supplier):
+    joined = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == customer.c_custkey).join(supplier, F.col("l_suppkey") == supplier.s_suppkey)
+    return joined.where("c_nationkey <> s_nationkey").groupBy(F.least("c_nationkey", "s_nationkey").alias("a"), F.greatest("c_nationkey", "s_nationkey").alias("b")).agg(F.count("*").alias("n")).where("n >= 3")
+
+
+@query("SELECT o_custkey, bool_or(o_orderstatus = 'F') AS any_f, bool_and(o_totalprice > 1000) AS all_big FROM orders GROUP BY o_custkey HAVING bool_or(o_orderstatus = 'F') AND NOT bool_or(o_orderpriority = '5-LOW')")
+def boolean_aggregates(orders):
+    g = orders.groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("any_f"), F.bool_and(F.col("o_totalprice") > 1000).alias("all_big"), F.bool_or(F.col("o_orderpriority") == "5-LOW").alias("low"))
+    return g.where("any_f and not low").drop("low")
+
+
+@query("""SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS tp, count(*) FILTER (l_linestatus <> 'F') AS fp, count(*) FILTER (l_linestatus = 'F') - 4 * count(*) FILTER (l_linestatus <> 'F') AS score,
+count(*) FILTER (l_linestatus <> 'F') / count(*) AS rate FROM lineitem GROUP BY 1""")
+def ratio_metrics(lineitem):
+    tp, fp = F.count_if(F.col("l_linestatus") == "F"), F.count_if(F.col("l_linestatus") != "F")
+    return lineitem.groupBy("l_returnflag").agg(tp.alias("tp"), fp.alias("fp"), (tp - 4 * fp).alias("score"), F.try_divide(fp, F.count("*")).alias("rate"))
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def union_distinct(customer, supplier):
+    return customer.select(F.col("c_nationkey").alias("k")).union(supplier.select("s_nationkey")).distinct()
+
+
+@query("SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
+def except_distinct(orders):
+    return orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).subtract(orders.where("o_orderstatus = 'O'").select("o_custkey"))
+
+
+@query("SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
+def intersect_distinct(orders):
+    return orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).intersect(orders.where("o_orderstatus = 'O'").select("o_custkey"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) = 0 THEN 'file-empty' WHEN octet_length(encode(text)) > 2000000 THEN 'file-too-large'
+WHEN length(text) >= 5000 AND length(text) / (length(text) - length(replace(text, chr(10), '')) + 1) > 500 THEN 'file-minified' END AS code FROM documents""")
+def file_guards(documents):
+    return documents.select("doc_id", guard(F.col("text")).alias("code"))
+
+
+@query("SELECT event_type, json_extract_string(props, '$.page') AS page, count(*) AS n FROM events GROUP BY ALL")
+def json_fields(events):
+    return events.groupBy("event_type", F.get_json_object("props", "$.page").alias("page")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT array_to_string(list_sort(list(DISTINCT l_suppkey)), '|') AS key, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) GROUP BY l_orderkey")
+def ordered_set_keys(lineitem):
+    sets = lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_suppkey")).alias("s"))
+    return sets.select(F.array_join(F.transform("s", lambda x: x.cast("string")), "|").alias("key"), F.size("s").cast("long").alias("n"))
+
+
+@query("SELECT n_name, name_parts FROM (SELECT n_name, unnest(string_split(n_name, ' ')) AS name_parts FROM nation)")
+def split_explode(nation):
+    return nation.select("n_name", F.explode(F.split("n_name", " ")).alias("name_parts"))
