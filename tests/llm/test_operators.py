@@ -1,0 +1,296 @@
+"""Each operator on odd inputs, and against a brute-force version."""
+
+import gzip
+import hashlib
+import random
+import re
+import zlib
+from array import array
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from loomspan.llm import decontamination, html_extraction, packing, quality, secrets, sharding, simhash, toxicity, url_filters, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, word string, row int"
+RNG = random.Random(3)
+WORDS = [f"w{i}" for i in range(300)]
+LONG = " ".join(RNG.choice(WORDS) for _ in range(30_000))
+PLAIN = [" ".join(RNG.choice(WORDS) for _ in range(RNG.randrange(20, 90))) for _ in range(60)]
+TEXTS = [None, "", " \n\t ", "one", "Ünïcode, CAFÉ! it's 42", LONG, *PLAIN, PLAIN[0], PLAIN[0], PLAIN[1]]
+
+
+def table(spark, texts, ids=None, lang="en"):
+    rows = [(i, t, lang if i % 7 else None, "s", 0, "k", 1, "w", 2) for i, t in zip(ids or range(len(texts)), texts, strict=True)]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    extra = [(None, "no id", None, None, None, None, None, None, None), (5, LONG, "en", "s", 0, "k", 1, "w", 2)]
+    return table(spark, TEXTS).union(spark.createDataFrame(extra, DOCS))
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+
+
+def test_packing(docs, none, tokenizer):
+    from tokenizers import Tokenizer
+
+    rows = packing.pack(docs, tokenizer, capacity=512, ids=True).collect()
+    whole = Tokenizer.from_file(tokenizer)
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    for i, t in enumerate(TEXTS):
+        want = array("I", [*whole.encode(t or "", add_special_tokens=False).ids, 1]).tobytes()
+        parts = sorted({(r.piece, r.start, r.length, bytes(r.ids), r.ids_crc32) for r in by_doc[i]})
+        assert b"".join(p[3] for p in parts) == want
+        assert all(zlib.crc32(p[3]) == p[4] and len(p[3]) == 4 * p[2] for p in parts)
+        assert [p[1] for p in parts] == [512 * k for k in range(len(parts))]
+    assert len(by_doc[5]) % 2 == 0 and None in by_doc
+    for seq in by_seq.values():
+        at = 0
+        for r in sorted(seq, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 512
+    assert packing.pack(none, tokenizer).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_best_fit_equals_one_at_a_time(seed):
+    rng = random.Random(seed)
+    counts = Counter(rng.choice([1, 2, 3, 7, 33, 50, 60, 99, 100, rng.randrange(1, 101)]) for _ in range(400))
+    bins = []
+    for n in sorted(counts.elements(), reverse=True):
+        fits = [i for i, room in enumerate(bins) if room >= n]
+        i = min(fits, key=lambda i: bins[i]) if fits else len(bins)
+        bins[i:i] = [] if fits else [100]
+        bins[i] -= n
+    runs, made = packing.best_fit(dict(counts), 100)
+    used = Counter()
+    for length, n in counts.items():
+        for rank in range(n):
+            k = max(np.flatnonzero((runs["length"] == length) & (runs["rank"] <= rank)), key=lambda k: runs["rank"][k])
+            used[int(runs["bin"][k] + (rank - runs["rank"][k]) // runs["each"][k])] += length
+    assert made == len(bins) and sorted(100 - u for u in used.values()) == sorted(bins)
+
+
+def test_decontamination(spark, docs, none):
+    items = [("a", " ".join(PLAIN[0].split()[5:25])), ("b", "One"), ("c", None), (None, PLAIN[1]), ("d", "never seen words at all here"), ("a", "CAFé it s")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.report(docs, bench).collect()}
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    want = set()
+    for i, t in [*enumerate(TEXTS), (None, "no id")]:
+        w, hit, names = words(t), set(), set()
+        for name, text in items:
+            v = words(text)
+            n = min(10, len(v))
+            for s in range(len(v) - n + 1) if n and name else ():
+                for at in range(len(w) - n + 1):
+                    if w[at : at + n] == v[s : s + n]:
+                        hit |= set(range(at, at + n))
+                        names.add(name)
+        want.add((i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
+    assert got == want
+    assert decontamination.report(docs, bench.limit(0)).where("contaminated").count() == 0
+    assert decontamination.report(none, bench).count() == 0
+
+
+def test_proximity(spark):
+    index = decontamination.postings(table(spark, ["x a b y", "a q q b", "a q q q q q b"]), spark.createDataFrame([("a",), ("b",)], "word string"))
+    assert sorted(r.gap for r in decontamination.proximity(index, "a", "b", 3).collect()) == [1, 3]
+
+
+def test_sharding(docs, none):
+    rows = sharding.shard(docs, shards=4).collect()
+    assert len(rows) == docs.count()
+    for s in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    assert all(r.size == len((t or "").encode()) + 1 and r.text_crc32 == zlib.crc32((t or "").encode()) for r in rows if r.doc_id is not None for t in [TEXTS[r.doc_id]])
+    assert sharding.shard(none).count() == 0
+
+
+def test_sharding_is_even_with_a_hot_text(spark):
+    rows = sharding.shard(table(spark, ["hot text"] * 700 + [f"text {i} " * (i % 9) for i in range(1400)]), shards=8).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) - min(sizes.values()) <= 0.05 * max(sizes.values())
+    assert len({r.shard for r in rows if r.doc_id == 709}) == 1
+
+
+def test_toxicity(spark, docs, none):
+    texts = [f"{PLAIN[i % 50]} {'vile' if i % 3 == 0 else ''}" for i in range(400)]
+    many = table(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.fit(many, labels)
+    assert {r.doc_id: r.predicted for r in toxicity.score(many, model).collect()} == {i: int(i % 3 == 0) for i in range(400)}
+    assert len(model[0]) < 200
+    scored = toxicity.score(docs, model).collect()
+    assert len(scored) == docs.count() and all(0 <= r.score <= 1 for r in scored)
+    assert toxicity.score(none, toxicity.fit(many, labels.limit(0))).count() == 0
+
+
+def test_secrets(spark, docs, none):
+    key = "AKIA" + "ABCDEFGHIJ234567"
+    text = f'é password="abcdefghijkl" {key} 0123456789abcdef0 TOKEN: short1 akia api_key=x'
+    found = {k: text[s:e] for s, e, k in secrets.spans_of(text)}
+    assert found["assign"].startswith('password="abcdefghijkl') and found["access"] == key and found["hex"] == "0123456789abcdef0"
+    assert found["weak_secret"] == "TOKEN: short1"  # an identifier is in scope
+    assert secrets.spans_of("TOKEN: short1 and no more") == []
+    far = f"{key}\n\nTOKEN: short1 https://example.org/login"
+    assert [k for *_, k in secrets.spans_of(far)] == ["access"]  # another paragraph
+    assert "endpoint" in {k for *_, k in secrets.spans_of(f"https://example.org/x {key} secret=abcdefghijklmnop")}
+    rows = secrets.scan(docs).collect()
+    assert len(rows) == docs.count()
+    out = secrets.redact(table(spark, [text, None, "clean"]))
+    assert {r.text for r in out.collect()} >= {None, "clean"} and "abcdefghijkl" not in str(out.collect())
+    assert secrets.scan(none).count() == 0
+
+
+def test_quality_counts():
+    def brute(t):
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        win = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        c = Counter(win)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len({i + k for i, x in enumerate(win) if c[x] > 1 for k in range(5)})
+
+    for t in [*TEXTS, "a b c d e a b c d e\nx\nx\n\n \n x#\u2003y", "x\x0by\x1cz", "r " * 9]:
+        assert quality.counts_of(t) == brute(t)
+
+
+def test_quality_model(spark, docs, none):
+    out = {r.doc_id: r for r in quality.judged(docs).collect()}
+    assert not out[0].kept and not out[1].kept and out[8].kept
+    model = quality.fit(table(spark, PLAIN).select("text", "lang"))
+    dense = quality._expanded(model)
+    plain, odd = quality.surprise([PLAIN[3], "zq#xv jkq!! bbbbb zzzz qqq"], ["en", "en"], dense)
+    assert plain < 4 < odd
+    one = quality._keys(np.array([65], np.uint64), np.array([0], np.uint64))
+    assert len(one) == quality.ORDER + 1
+    total = sum(2.0 ** -quality.surprise([c], ["en"], dense)[0] for c in map(chr, range(32, 127)))
+    assert 0.9 < total < 1.05  # probabilities of a first character
+    assert quality.judged(none).count() == 0
+
+
+def brute_fingerprint(t):
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(docs, none):
+    rows = simhash.clusters(docs).collect()
+    fps = {i: brute_fingerprint(t) for i, t in enumerate(TEXTS)}
+    assert all(r.f0 & (1 << 64) - 1 == fps[r.doc_id] for r in rows if r.doc_id is not None)
+    names = {r.doc_id: r.component_id for r in rows}
+    assert names[0] == names[1] == names[2] == 0 and names[66] == names[67] == names[6] == 6
+    assert simhash.clusters(none).count() == 0
+
+
+def test_simhash_links_all_within_four_bits(spark):
+    rng = random.Random(5)
+    fps = {0, (1 << 64) - 1}
+    for _ in range(40):
+        x = rng.getrandbits(64)
+        for _ in range(12):
+            fps.add(x)
+            for b in rng.sample(range(64), rng.choice([1, 2, 4, 5])):
+                x ^= 1 << b
+    fps = sorted(fps)
+    root = {x: x for x in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 4:
+                root[find(a)] = find(b)
+    want = {}
+    for x in fps:
+        want.setdefault(find(x), set()).add(x)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    nodes = spark.createDataFrame([(signed(x), signed(x)) for x in fps], "node long, f0 long")
+    for block in (1 << 15, 8):  # 8: anchors are split into blocks
+        got = {}
+        for r in simhash.components(simhash.links(nodes, block=block)).collect():
+            got.setdefault(r.root, {r.root}).add(r.node)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(map(signed, g)) for g in want.values() if len(g) > 1)
+
+
+def test_dedup_keeps_one(spark):
+    base = " ".join(RNG.choice(WORDS) for _ in range(300)).split()
+    near = [*base]
+    near[150] = "other"
+    out = simhash.deduplicated(table(spark, [" ".join(base), " ".join(near), " ".join(base), PLAIN[5], None, ""], ids=[4, 3, 9, 1, 7, 8]))
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 7]
+
+
+PAGES = "page_id long, url string, html string, host string, path string, text string"
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*r, "h", "p", "t") for r in rows], PAGES).repartition(2)
+
+
+def test_html(spark):
+    page = "<html><head><title>T{i}</title><script>var a='</p>';</script></head><body><header>Site</header><nav><a href=/x>m</a></nav><div class='cookie-notice'>We use</div>{main}<aside>side {i}</aside><section id=comments><p>hi</p></section><footer>f</footer></body></html>"
+    main = "<article><header><h1>Head {i}</h1></header><p>A &amp; b  <b>c</b>\n d<!-- x -->e<p>two<div class=ad>buy</div><form>f</form></article>"
+    rows = [(i, f"http://h.org/{i}", page.replace("{main}", main).replace("{i}", str(i))) for i in range(6)]
+    rows += [(10, None, None), (11, "x", ""), (12, "http://solo.org/", "<p>Only &lt;text&gt;<br>more"), (12, "http://solo.org/", "<p>Only &lt;text&gt;<br>more"), (13, "http://q.org", "<div class=post-content><p>P</div><div class=sidebar>S")]
+    got = {r.page_id: r for r in html_extraction.extract(pages(spark, rows)).collect()}
+    assert got[2].text == "Head 2\nA & b c de\ntwo" and got[2].n_chars == len(got[2].text)
+    assert got[10].text == got[11].text == "" and got[12].text == "Only <text> more" and got[13].text == "P"
+    fixed = [(i, f"http://n.org/{i}", f"<body><div class=x>Same words</div><div class=y>Body {i}</div></body>") for i in range(5)]
+    assert {r.text for r in html_extraction.extract(pages(spark, fixed)).collect()} == {f"Body {i}" for i in range(5)}
+    assert html_extraction.extract(pages(spark, rows).limit(0)).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    big = "é" * 600
+    rows = [(1, "http://a/\u00e9?x=1", big), (7, "http://b", big), (3, None, big), (4, "http://c", None), (5, "http://d", "s"), (6, "http://e", "s"), (None, "http://f", big)]
+    decided = warc.decided(pages(spark, rows))
+    members = warc.normalise(warc.write(decided, archive_bytes=2000)).cache()
+    got = {r.page_id: r for r in warc.read(members).collect()}
+    assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {"1": ("revisit", "7"), "3": ("revisit", "7"), None: ("revisit", "7"), "7": ("response", None), "4": ("response", None), "5": ("response", None), "6": ("response", None)}
+    assert all(got[str(i)].payload_bytes == len((h or "").encode()) and got[str(i)].payload_digest == hashlib.sha1((h or "").encode()).hexdigest() for i, _, h in rows if i)
+    assert got["1"].url == rows[0][1] and bytes(got["7"].payload) == big.encode()
+    warc.export(members, str(tmp_path))
+    for r in warc.index(members).collect():
+        data = (tmp_path / f"{r.archive}.warc.gz").read_bytes()
+        assert r.record_id.encode() in gzip.decompress(data[r.offset : r.offset + r.length])
+    assert warc.read(warc.normalise(warc.write(decided.limit(0)))).count() == 0
+
+
+def test_url_filters(spark):
+    rows = [(1, "http://A.Example.org/en/1x?q", None), (2, "http://example.org", ""), (3, "noscheme", ""), (4, None, ""), (5, "x://h.com/de/1", "<a href='http://spam.net/'>"), (6, "http://spam.net/p#f", "<a href=\"http://h.com/de/\">"), (7, "http://ok.net/p", "<a href=http://good.org/>"), (8, "http://notorg/", "")]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages(spark, rows)).collect()}
+    assert got[1] == ("a.example.org", "/en/1x", "example.org/en/1", "block")
+    assert got[2] == ("example.org", "", None, "allow") and got[3] == got[4] == ("", "", None, "allow")
+    assert got[5] == ("h.com", "/de/1", "com/de/", "block") and got[6] == ("spam.net", "/p", None, "block")
+    assert got[7][3] == got[8][3] == "allow"
+    import duckdb
+
+    c = duckdb.connect()
+    frame = pages(spark, rows).toPandas()
+    c.register("pages", frame)
+    assert {r[0]: r[1:] for r in c.sql(f"SELECT page_id, host, path, rule, verdict FROM ({url_filters.OP10_SQL})").fetchall()} == got
