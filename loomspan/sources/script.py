@@ -31,6 +31,94 @@ class Facts:
     constants: list[dict] = field(default_factory=list)
     smells: list[dict] = field(default_factory=list)
     tokens: list[tuple[str, int]] = field(default_factory=list)
+    functions: list[dict] = field(default_factory=list)
+
+
+_CSS = re.compile(r"@(?:import|use|forward|plugin|reference|config)\s+(?:url\(\s*)?[\"']?([^\"'\s;)]+)")
+_BRANCH = frozenset(("if", "for", "while", "case", "catch", "&&", "||", "??", "?"))
+_NESTS = frozenset(("if", "for", "while", "switch", "catch"))
+
+
+def read_css(path: str, source: str) -> Facts:
+    """Imports of a style sheet; those of other hosts are left out. A bare name is tried beside the file."""
+    facts = Facts()
+    for m in _CSS.finditer(re.sub(r"/\*.*?(?:\*/|\Z)", "", source, flags=re.S)):
+        spec = m[1]
+        if "//" not in spec:
+            beside = spec if spec.startswith((".", "@", "~")) else f"./{spec}"
+            facts.imports.append({"specifier": spec, "target": target_of(path, beside), "kind": "css", "type_only": False, "line": source.count("\n", 0, m.start()) + 1, "names": []})
+    return facts
+
+
+def glob_regex(path: str, pattern: str) -> tuple[str, str] | None:
+    """Of a relative glob: the folder it starts in, and a regular expression of the paths it takes."""
+    whole = target_of(path, pattern)
+    if whole is None:
+        return None
+    fixed = whole.split("*")[0].rpartition("/")[0]
+    steps = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    body = re.sub(r"\*\*/|\*\*|\*|\?|\{[^}]*\}|[^*?{]+", lambda m: steps.get(m[0]) or ("(?:" + "|".join(map(re.escape, m[0][1:-1].split(","))) + ")" if m[0][0] == "{" else re.escape(m[0])), whole)
+    return fixed, f"^{body}$"
+
+
+def functions(toks: list[tuple[str, str, int]], line: object) -> list[dict]:
+    """Named functions with a block: decision points + 1, cognitive weight, lines and parameters.
+
+    A decision weighs one, and one more for each block of decisions it lies in. What an inner function
+    holds counts for the outer ones too.
+    """
+    out = []
+    for i, (kind, text, offset) in enumerate(toks):
+        name = start = None
+        if text == "function" and kind == "name":
+            k = i + 1 + (toks[i + 1 : i + 2] != [] and toks[i + 1][1] == "*")
+            if k + 1 < len(toks) and toks[k][0] == "name" and toks[k + 1][1] == "(":
+                name, start = toks[k][1], k + 1
+        elif text == "=" and i and toks[i - 1][0] == "name" and i + 1 < len(toks):
+            k = i + 1 + (toks[i + 1][1] == "async")
+            if k < len(toks) and toks[k][1] == "(":
+                name, start = toks[i - 1][1], k
+        if start is None:
+            continue
+        depth, k, params, part = 0, start, 0, False
+        while k < len(toks):
+            t = toks[k][1]
+            depth += (t in "([{") - (t in ")]}")
+            if depth == 0:
+                break
+            if t == "," and depth == 1:
+                params, part = params + part, False
+            elif k > start:
+                part = True
+            k += 1
+        params += part
+        while k < len(toks) and toks[k][1] not in ("{", ";") and line(toks[k][2]) <= line(offset) + 3:
+            k += 1
+        if k >= len(toks) or toks[k][1] != "{" or text == "=" and not any(x[1] == "=>" for x in toks[start:k]):
+            continue
+        depth, end, cyclomatic, cognitive, nests, waiting = 0, k, 1, 0, [], False
+        while end < len(toks):
+            t = toks[end][1]
+            if t == "{":
+                depth += 1
+                if waiting:
+                    nests.append(depth)
+                waiting = False
+            elif t == "}":
+                if nests and nests[-1] == depth:
+                    nests.pop()
+                depth -= 1
+                if depth == 0:
+                    break
+            if t in _BRANCH and toks[end][0] != "string" and not (t == "?" and end + 1 < len(toks) and toks[end + 1][1] in (".", ":", ")")):
+                cyclomatic += 1
+                cognitive += 1 + (len(nests) if t not in ("&&", "||", "??", "case") else 0)
+            if t in _NESTS or t == "else":
+                waiting = True
+            end += 1
+        last = line(toks[min(end, len(toks) - 1)][2])
+        out.append({"name": name, "line": line(offset), "cyclomatic": cyclomatic, "cognitive": cognitive, "lines": last - line(offset) + 1, "params": params})
+    return out
 
 
 def scan(source: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, int]]]:
@@ -184,6 +272,10 @@ def read(path: str, source: str) -> Facts:
                 facts.smells.append({"kind": "commonjs", "detail": "require", "line": line(offset), "confidence": "high"})
             elif depth == 0 and text_at(i - 1) == "await":
                 facts.smells.append({"kind": "lazy-import-top-level", "detail": "await", "line": line(offset), "confidence": "high"})
+        if kind == "name" and text == "import" and [text_at(i + k) for k in (1, 2, 3)] == [".", "meta", "."] and text_at(i + 4) in ("glob", "globEager") and i + 6 < len(toks) and toks[i + 6][0] == "string":
+            found = glob_regex(path, toks[i + 6][1][1:-1])
+            if found:
+                facts.imports.append({"specifier": found[1], "target": found[0], "kind": "glob", "type_only": False, "line": line(offset), "names": []})
         if kind == "name" and text == "module" and text_at(i + 1) == "." and text_at(i + 2) == "exports":
             facts.smells.append({"kind": "commonjs", "detail": "module.exports", "line": line(offset), "confidence": "high"})
         if kind == "name" and text == "process" and [text_at(i + k) for k in (1, 2, 3)] == [".", "env", "."] and i + 4 < len(toks):
@@ -201,6 +293,7 @@ def read(path: str, source: str) -> Facts:
             own.append(text)
         i += 1
     facts.references = set(own)
+    facts.functions = functions(toks, line)
     facts.smells += [{"kind": "redundant-alias", "detail": n, "line": line(o), "confidence": "high"} for n, o in same]
     facts.tokens = [(_BLIND.get(k, "I" if k == "name" and t not in _DECLARES and t not in ("return", "if", "for", "while", "import", "export", "from", "new", "await") else t), line(o)) for k, t, o in toks]
     return facts
