@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm.common import batches, only, pin
+from loomspan.llm.common import batches, only, pin, small, stored
 
 PARTS, DISTANCE, SHINGLE = 3, 4, 4
 SEED = 42
@@ -115,10 +115,7 @@ def _mixed(fps: np.ndarray) -> np.ndarray:
 
 
 def _forest(node: np.ndarray, lanes: np.ndarray, side: np.ndarray, lane: int, lane_limit: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (a, b) of the links between the rows of sides 0 and 2 and those of sides 1 and 2.
-
-    Rows are compared in the anchor's own lane first, and in all lanes only where that is near.
-    """
+    """Spanning forest (a, b) of the links between the rows of sides 0 and 2 and those of sides 1 and 2, of one lane."""
     names, local = np.unique(node, return_inverse=True)
     root = np.arange(len(names))
     at_h, at_v = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
@@ -127,9 +124,6 @@ def _forest(node: np.ndarray, lanes: np.ndarray, side: np.ndarray, lane: int, la
         for j in range(0, len(v), 4096):
             x, y = np.nonzero(np.bitwise_count(h[i : i + 256, None] ^ v[None, j : j + 4096]) <= lane_limit)
             x, y = at_h[i + x], at_v[j + y]
-            if lanes.shape[1] > 1:
-                near = np.bitwise_count(lanes[x] ^ lanes[y]).sum(axis=1) <= distance
-                x, y = x[near], y[near]
             x, y = local[x], local[y]
             while len(apart := np.flatnonzero(root[x] != root[y])):
                 x, y = x[apart], y[apart]
@@ -141,12 +135,62 @@ def _forest(node: np.ndarray, lanes: np.ndarray, side: np.ndarray, lane: int, la
     return names[moved], names[root[moved]]
 
 
+#: Bits up to which candidates count as equally near when a forest of them is chosen.
+LEVELS = np.array([4, 10, 16, 22, 28, 34, 40, 46, 192])
+
+
+def _joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Numbers of edges that join trees of `root`, one for each join; `root` is brought up to date."""
+    used, nth = [np.zeros(0, np.int64)], np.arange(len(x))
+    pick = np.full(len(root), -1, np.int64)
+    while len(apart := np.flatnonzero(root[x] != root[y])):
+        x, y, nth = x[apart], y[apart], nth[apart]
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        pick[high] = np.arange(len(high))  # one edge for each upper root
+        chosen = pick[np.unique(high)]
+        used.append(nth[chosen])
+        root[high[chosen]] = low[chosen]
+        while (root != root[root]).any():
+            root[:] = root[root]
+    return np.concatenate(used)
+
+
+def _near_forest(node: np.ndarray, lanes: np.ndarray, side: np.ndarray, lane: int, lane_limit: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) near in the anchor's own lane and in all: for each of `LEVELS` a spanning forest.
+
+    Every pair returned is itself near, so it can be checked; those within a level connect all that pairs
+    within it do. Nearer pairs come first, so a check that fails seldom parts what others would hold together.
+    """
+    names, local = np.unique(node, return_inverse=True)
+    root = np.tile(np.arange(len(names)), (len(LEVELS), 1))
+    at_h, at_v = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    h, v = lanes[at_h, lane], lanes[at_v, lane]
+    out = [np.zeros((2, 0), np.int64)]
+    for i in range(0, len(h), 256):
+        for j in range(0, len(v), 4096):
+            x, y = np.nonzero(np.bitwise_count(h[i : i + 256, None] ^ v[None, j : j + 4096]) <= lane_limit)
+            x, y = at_h[i + x], at_v[j + y]
+            bits = np.bitwise_count(lanes[x] ^ lanes[y]).sum(axis=1)
+            level, x, y = np.searchsorted(LEVELS, bits), local[x], local[y]
+            new = (bits <= distance) & (root[level, x] != root[level, y])
+            level, x, y = level[new], x[new], y[new]
+            held = np.zeros((2, 0), np.int64)
+            for k in range(len(LEVELS) if len(x) else 0):
+                fresh = np.stack([x[level == k], y[level == k]])
+                edges = np.concatenate([fresh, held], axis=1)
+                used = _joined(root[k], *edges)
+                out.append(edges[:, used[used < fresh.shape[1]]])
+                held = edges[:, used]
+    a, b = names[np.concatenate(out, axis=1)]
+    return np.maximum(a, b), np.minimum(a, b)
+
+
 def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, lane_limit: int | None = None, mutual: bool = False, block: int = BLOCK) -> DataFrame:
     """Links a > b between distinct fingerprints (node, f0, f1...): enough to connect all that are linked.
 
     One-sided: homes meet visitors, so all pairs with at most one differing bit in some part meet.
     Mutual: visitors meet visitors, so all with at most two in some part do; with several lanes that
-    finds far pairs with high probability rather than for certain.
+    finds far pairs with high probability rather than for certain, and the links are near pairs themselves.
     """
     names, every = [f"f{i}" for i in range(lanes)], lanes * N_ANCHORS
     limit = distance if lane_limit is None else lane_limit
@@ -208,7 +252,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, lane_limit
             a, b = [], []
             for s, e in zip([0, *cuts], [*cuts, len(key)], strict=True):
                 if e - s > 1:
-                    x, y = _forest(node[s:e], f[s:e], side[s:e], int(key[s] >> 40) // N_ANCHORS, limit, distance)
+                    x, y = (_near_forest if mutual else _forest)(node[s:e], f[s:e], side[s:e], int(key[s] >> 40) // N_ANCHORS, limit, distance)
                     a.append(x)
                     b.append(y)
             if a:
@@ -272,18 +316,70 @@ def clusters(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
     return rows.join(named, "node").select("doc_id", "text_key", *names, "root", "component_id")
 
 
-#: The near-duplicate filter: words of a shingle, lanes, and differing bits: about 0.8 of the shingles shared.
-NEAR_SHINGLE, NEAR_LANES, NEAR_DISTANCE, NEAR_LANE = 5, 3, 34, 20
+#: The near-duplicate filter: words of a shingle, least part of the shingles shared (Jaccard), and for the
+#: candidates: lanes, differing bits in all and in the anchor's own lane.
+NEAR_SHINGLE, NEAR_SHARED, NEAR_LANES, NEAR_DISTANCE, NEAR_LANE = 5, 0.8, 3, 46, 20
+#: Pairs of whole texts that a Python worker takes at a time.
+PAIR_ROWS = 64
+
+
+def shingles(text: str | None, shingle: int = NEAR_SHINGLE) -> frozenset[bytes]:
+    """The distinct word shingles that `fingerprint` hashes; none if there are no words."""
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))) if words else frozenset()
+
+
+def shared(a: frozenset[bytes], b: frozenset[bytes]) -> float:
+    """Jaccard similarity; two empty sets are alike."""
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int = NEAR_SHINGLE, least: float = NEAR_SHARED, text_col: str = "text") -> DataFrame:
+    """The pairs (a, b: hashes of texts) whose whole texts share `least` of their shingles.
+
+    Only texts in some pair are moved, one row for each, whatever its number of copies.
+    """
+    spark = docs.sparkSession
+    needed = pin(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = only(docs, text=text_col).select(F.xxhash64("text").alias("node"), "text")
+    texts = stored(texts.join(small(needed), "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, of_b = None, frozenset()
+        for batch in it:
+            keep = []
+            for b, x, y in zip(batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
+                if b != last:  # rows come sorted by b
+                    last, of_b = b, shingles(y.as_py(), shingle)
+                keep.append(shared(shingles(x.as_py(), shingle), of_b) >= least)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(PAIR_ROWS))
+    try:
+        return pin(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+    finally:
+        spark.conf.set(key, before)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of least id of each group of near copies, with all columns of `docs`.
 
-    Shingles of five words that agree to 0.8 (Jaccard) differ in 0.15 of the bits on average; 192 bits
-    and 34 differences take nearly all pairs from there up. Of repeated rows one is kept.
+    Anchors find candidates among distinct texts; only those that share 0.8 of their distinct five-word
+    shingles (compared in whole) are linked. Texts that agree to 0.8 differ in 0.15 of the bits on average;
+    192 bits and 46 differences take all but a few pairs from there up. Of repeated rows one is kept.
+    Texts without words (null, empty) are alike. An empty table gives an empty result.
     """
-    c = pin(clusters(docs, NEAR_SHINGLE, NEAR_DISTANCE, NEAR_LANES, NEAR_LANE, id_col, text_col))
-    first = c.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")).select(F.col("first.doc_id").alias("_first_id"), F.col("first.text_key").alias("_first_key"))
+    names = [f"f{i}" for i in range(NEAR_LANES)]
+    rows = pin(fingerprints(docs, NEAR_SHINGLE, NEAR_LANES, id_col, text_col))
+    nodes = pin(rows.groupBy(F.col("text_key").alias("node")).agg(*(F.first(n).alias(n) for n in names)))
+    pairs = pin(links(nodes, NEAR_DISTANCE, NEAR_LANES, NEAR_LANE, mutual=True))
+    tree = components(verified(pairs, docs, text_col=text_col)).withColumnRenamed("node", "child")
+    c = rows.select("doc_id", "text_key").join(tree, rows.text_key == F.col("child"), "left").withColumn("root", F.coalesce("root", "text_key"))
+    first = pin(c.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")).select(F.col("first.doc_id").alias("_first_id"), F.col("first.text_key").alias("_first_key")))
     keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
     kept = keyed.join(first, keyed[id_col].eqNullSafe(first["_first_id"]) & (keyed["_key"] == first["_first_key"]))
     return kept.dropDuplicates(["_first_id", "_first_key"]).select(*docs.columns)

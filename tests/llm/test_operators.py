@@ -245,6 +245,24 @@ def test_dedup_keeps_one(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 7]
 
 
+def test_dedup_is_exact(spark):
+    """Groups are those of brute force over whole shingle sets; alike but below 0.8 stays apart."""
+    rng = random.Random(8)
+    texts = ["", " \n", None]
+    for _ in range(12):
+        words = [rng.choice(WORDS) for _ in range(rng.choice([3, 40, 120, 400]))]
+        for edits in (0, 0, 1, 2, 3, 5, 8, 13):
+            texts.append(" ".join("x" + w if rng.random() * len(words) < edits else w for w in words))
+    sets, root = [simhash.shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if simhash.shared(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    out = simhash.deduplicated(table(spark, texts))
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(root))
+
+
 PAGES = "page_id long, url string, html string, host string, path string, text string"
 
 
