@@ -10,6 +10,8 @@ import posixpath
 import re
 from dataclasses import dataclass, field
 
+from loomspan.sources import patterns
+
 _TOKEN = re.compile(
     r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?)|(?P<template>`(?:[^`\\]|\\.)*`?)"
     r"|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<punct>=>|\.\.\.|\?\?|&&|\|\||[=!]==?|[^\s\w])",
@@ -32,6 +34,7 @@ class Facts:
     smells: list[dict] = field(default_factory=list)
     tokens: list[tuple[str, int]] = field(default_factory=list)
     functions: list[dict] = field(default_factory=list)
+    types: list[dict] = field(default_factory=list)
 
 
 _CSS = re.compile(r"@(?:import|use|forward|plugin|reference|config)\s+(?:url\(\s*)?[\"']?([^\"'\s;)]+)")
@@ -142,6 +145,46 @@ def scan(source: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, int]]
     return out, comments
 
 
+_SCRIPT = re.compile(r"<script\b([^>]*?)(?:/>|>(.*?)</script>)", re.S | re.I)
+_SRC = re.compile(r"\bsrc\s*=\s*[\"']([^\"']+)[\"']", re.I)
+
+
+def embedded(path: str, source: str) -> str:
+    """The scripts of a Vue, Svelte, Astro or MDX file, on the lines where they stand; other files as they are."""
+    kind = path.rpartition(".")[2]
+    if kind not in ("vue", "svelte", "astro", "mdx"):
+        return source
+    if kind == "mdx":
+        kept, depth = [], 0
+        for text in source.split("\n"):
+            begins = re.match(r"\s*(import|export)[\s{]", text)
+            if depth > 0 or begins:
+                depth = max(0, depth + text.count("{") - text.count("}"))
+                kept.append(text)
+                depth = 0 if " from " in text else depth
+            else:
+                kept.append("")
+        return "\n".join(kept)
+    out, at = [], 0
+    front = re.match(r"---\r?\n(.*?)\r?\n---", source, re.S) if kind == "astro" else None
+    if front:
+        out.append("\n" * source.count("\n", 0, front.start(1)) + front[1])
+        at = front.end(1)
+    for m in _SCRIPT.finditer(source, front.end() if front else 0):
+        start = m.start(2) if m[2] is not None else m.start()
+        out.append("\n" * source.count("\n", at, start))
+        src = _SRC.search(m[1]) if kind == "astro" else None
+        out.append((f"import {src[1]!r};" if src else "") + (m[2] or ""))
+        at = m.end(2) if m[2] is not None else m.start()
+    return "".join(out)
+
+
+def mock_sibling(specifier: str) -> str | None:
+    """The file in `__mocks__` beside a mocked module that a test runner takes without being told."""
+    folder, slash, name = specifier.rpartition("/")
+    return f"{folder}/__mocks__/{name}" if slash and name and "__mocks__" not in folder.split("/") and "://" not in specifier and not specifier.startswith("data:") else None
+
+
 def target_of(path: str, specifier: str) -> str | None:
     """The path a relative specifier points at, without extension rules; null for bare ones."""
     clean = re.sub(r"\?.*$", "", specifier.rpartition("!")[2])
@@ -174,6 +217,7 @@ def _list(toks: list[tuple[str, str, int]], i: int, same: list[tuple[str, int]])
 
 def read(path: str, source: str) -> Facts:
     """All facts of the file at `path`."""
+    source = embedded(path, source)
     toks, comments = scan(source)
     facts, starts = Facts(), [0, *(m.end() for m in re.finditer("\n", source))]
     from bisect import bisect_right
@@ -272,6 +316,12 @@ def read(path: str, source: str) -> Facts:
                 facts.smells.append({"kind": "commonjs", "detail": "require", "line": line(offset), "confidence": "high"})
             elif depth == 0 and text_at(i - 1) == "await":
                 facts.smells.append({"kind": "lazy-import-top-level", "detail": "await", "line": line(offset), "confidence": "high"})
+        if kind == "name" and text in ("vi", "jest") and [text_at(i + k) for k in (1, 2, 3)] == [".", "mock", "("] and i + 4 < len(toks) and toks[i + 4][0] == "string":
+            spec = toks[i + 4][1][1:-1]
+            made = text_at(i + 5) == "," and text_at(i + 6) in ("(", "async", "function") or text_at(i + 7) == "=>"
+            for s in (spec, None if made else mock_sibling(spec)):
+                if s:
+                    imported(s, "mock", offset, [("*", "*", False)])
         if kind == "name" and text == "import" and [text_at(i + k) for k in (1, 2, 3)] == [".", "meta", "."] and text_at(i + 4) in ("glob", "globEager") and i + 6 < len(toks) and toks[i + 6][0] == "string":
             found = glob_regex(path, toks[i + 6][1][1:-1])
             if found:
@@ -294,6 +344,14 @@ def read(path: str, source: str) -> Facts:
         i += 1
     facts.references = set(own)
     facts.functions = functions(toks, line)
+    code = patterns.Code(toks, line)
+    for detect in (patterns.expressions, patterns.functions, patterns.wrappers):
+        facts.smells += detect(code)
+    if re.search(r"\.[mc]?tsx?$", path):
+        declared = list(patterns.types(code))
+        facts.types = [{"name": n, "shape": shape, "line": at} for n, shape, at, _, _ in declared]
+        facts.smells += patterns.assertions(code, path.endswith("x"))
+        facts.smells += patterns.leaks(code, declared, {e["local"] or e["name"] for e in facts.exports})
     facts.smells += [{"kind": "redundant-alias", "detail": n, "line": line(o), "confidence": "high"} for n, o in same]
     facts.tokens = [(_BLIND.get(k, "I" if k == "name" and t not in _DECLARES and t not in ("return", "if", "for", "while", "import", "export", "from", "new", "await") else t), line(o)) for k, t, o in toks]
     return facts
