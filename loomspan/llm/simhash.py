@@ -185,14 +185,46 @@ def _near_forest(node: np.ndarray, lanes: np.ndarray, side: np.ndarray, lane: in
     return np.maximum(a, b), np.minimum(a, b)
 
 
+#: Nearest rows of other roots that a row names at each of its home anchors.
+NEAREST = 8
+
+
+def _across(node: np.ndarray, lanes: np.ndarray, side: np.ndarray, anchor: int, lane_limit: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs (a, b) of different roots (the last column): for each row at home here, the `NEAREST` of those it meets."""
+    root, fps, lane = lanes[:, -1], np.ascontiguousarray(lanes[:, :-1]), anchor // N_ANCHORS
+    home = (anchors(np.ascontiguousarray(fps[:, lane]).view(np.int64))[0] == anchor % N_ANCHORS).any(axis=1)
+    at_h, at_v = np.flatnonzero((side != 1) & home), np.flatnonzero(side != 0)
+    if not len(at_h) or (root == root[0]).all():
+        return node[:0], node[:0]
+    h, v = fps[at_h, lane], fps[at_v, lane]
+    out = [np.zeros((2, 0), np.int64)]
+    for i in range(0, len(h), 256):
+        found = []
+        for j in range(0, len(v), 4096):
+            x, y = np.nonzero((root[at_h[i : i + 256], None] != root[None, at_v[j : j + 4096]]) & (np.bitwise_count(h[i : i + 256, None] ^ v[None, j : j + 4096]) <= lane_limit))
+            x, y = at_h[i + x], at_v[j + y]
+            bits = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1)
+            found.append(np.stack([x, y, bits])[:, bits <= distance])
+        x, y, bits = np.concatenate(found, axis=1).astype(np.int64)
+        order = np.lexsort((node[y], bits, x))
+        x, y = x[order], y[order]
+        first = np.arange(len(x)) - np.searchsorted(x, x) < NEAREST
+        out.append(node[np.stack([x[first], y[first]])])
+    a, b = np.concatenate(out, axis=1)
+    a, b = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+    return a, b
+
+
 def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, lane_limit: int | None = None, mutual: bool = False, block: int = BLOCK) -> DataFrame:
     """Links a > b between distinct fingerprints (node, f0, f1...): enough to connect all that are linked.
 
     One-sided: homes meet visitors, so all pairs with at most one differing bit in some part meet.
     Mutual: visitors meet visitors, so all with at most two in some part do; with several lanes that
     finds far pairs with high probability rather than for certain, and the links are near pairs themselves.
+    With a column root, each node's nearest ones of other roots are returned instead (mutual only).
     """
-    names, every = [f"f{i}" for i in range(lanes)], lanes * N_ANCHORS
+    rooted = "root" in nodes.columns
+    names, every = [*(f"f{i}" for i in range(lanes)), *["root"] * rooted], lanes * N_ANCHORS
     limit = distance if lane_limit is None else lane_limit
 
     def values(b: pa.RecordBatch) -> np.ndarray:
@@ -240,7 +272,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, lane_limit
                         own = np.repeat(np.arange(len(node)), PARTS)
                         parts = [dealt(own, homes.ravel(), salt[own], 0), dealt(row, at, salt[row], 1)]
                     row, key, side = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    cols = [key, node[row], side, *(f[row, k] for k in range(lanes))]
+                    cols = [key, node[row], side, *(f[row, k] for k in range(len(names)))]
                     yield from (pa.RecordBatch.from_arrays([pa.array(c[j : j + 50_000]) for c in cols], ["key", "node", "side", *names]) for j in range(0, len(key), 50_000))
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +284,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, lane_limit
             a, b = [], []
             for s, e in zip([0, *cuts], [*cuts, len(key)], strict=True):
                 if e - s > 1:
-                    x, y = (_near_forest if mutual else _forest)(node[s:e], f[s:e], side[s:e], int(key[s] >> 40) // N_ANCHORS, limit, distance)
+                    anchor = int(key[s] >> 40)
+                    x, y = _across(node[s:e], f[s:e], side[s:e], anchor, limit, distance) if rooted else (_near_forest if mutual else _forest)(node[s:e], f[s:e], side[s:e], anchor // N_ANCHORS, limit, distance)
                     a.append(x)
                     b.append(y)
             if a:
@@ -369,7 +402,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The row of least id of each group of near copies, with all columns of `docs`.
 
     Anchors find candidates among distinct texts; only those that share 0.8 of their distinct five-word
-    shingles (compared in whole) are linked. Texts that agree to 0.8 differ in 0.15 of the bits on average;
+    shingles (compared in whole) are linked. Where a pair of a forest fails, another might pass: a second round
+    compares each text with the nearest ones of other groups. Texts that agree to 0.8 differ in 0.15 of the bits on average;
     192 bits and 46 differences take all but a few pairs from there up. Of repeated rows one is kept.
     Texts without words (null, empty) are alike. An empty table gives an empty result.
     """
@@ -377,7 +411,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = pin(fingerprints(docs, NEAR_SHINGLE, NEAR_LANES, id_col, text_col))
     nodes = pin(rows.groupBy(F.col("text_key").alias("node")).agg(*(F.first(n).alias(n) for n in names)))
     pairs = pin(links(nodes, NEAR_DISTANCE, NEAR_LANES, NEAR_LANE, mutual=True))
-    tree = components(verified(pairs, docs, text_col=text_col)).withColumnRenamed("node", "child")
+    tree = components(verified(pairs, docs, text_col=text_col))
+    rooted = pin(nodes.join(tree.withColumnRenamed("node", "child"), nodes.node == F.col("child"), "left").select("node", *names, F.coalesce("root", "node").alias("root")))
+    more = pin(links(rooted, NEAR_DISTANCE, NEAR_LANES, NEAR_LANE, mutual=True).join(pairs, ["a", "b"], "left_anti"))
+    more = verified(more, docs, text_col=text_col)
+    if not more.isEmpty():
+        tree = components(tree.toDF("a", "b").union(more))
+    tree = tree.withColumnRenamed("node", "child")
     c = rows.select("doc_id", "text_key").join(tree, rows.text_key == F.col("child"), "left").withColumn("root", F.coalesce("root", "text_key"))
     first = pin(c.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")).select(F.col("first.doc_id").alias("_first_id"), F.col("first.text_key").alias("_first_key")))
     keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col)))

@@ -312,3 +312,15 @@ def test_url_filters(spark):
     frame = pages(spark, rows).toPandas()
     c.register("pages", frame)
     assert {r[0]: r[1:] for r in c.sql(f"SELECT page_id, host, path, rule, verdict FROM ({url_filters.OP10_SQL})").fetchall()} == got
+
+
+def test_second_round_names_nearest_of_other_groups(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**62), 2**62, 3)
+    near = [base ^ np.array([1 << int(b), 0, 0]) for b in rng.integers(0, 60, 12)]
+    rows = [(i, *map(int, f), 0 if i < 6 else i) for i, f in enumerate(near)] + [(99, *map(int, ~base), 99)]
+    nodes = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, root long")
+    got = {(r.a, r.b) for r in simhash.links(nodes, 46, 3, 20, mutual=True).collect()}
+    assert got and all(a > b and not (a < 6 and b < 6) and 99 not in (a, b) for a, b in got)
+    assert {n for p in got for n in p} == set(range(12))
+    assert simhash.links(nodes.limit(0), 46, 3, 20, mutual=True).count() == 0
