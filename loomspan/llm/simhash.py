@@ -398,13 +398,157 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int = NEAR_SHINGLE, lea
         spark.conf.set(key, before)
 
 
+#: Slots of the table of shingle frequencies that orders a text's shingles; they steer cost, never the result.
+SLOTS = 1 << 20
+#: Pairs of one key that are laid out at a time.
+PAIRS = 1 << 20
+
+
+def hashes(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """XXH64 of the distinct shingles; of the empty string if there are no words, so such texts meet."""
+    from xxhash import xxh64_intdigest
+
+    return np.array([xxh64_intdigest(s, SEED) for s in shingles(text, shingle) or (b"",)], np.uint64)
+
+
+def frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """How many of the texts' distinct shingles fall into each of `SLOTS` slots of their hashes."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for b in it:
+            found = [hashes(t) >> np.uint64(44) for t in b.column(0).to_pylist()]
+            if found:
+                total += np.bincount(np.concatenate(found).astype(np.int64), minlength=SLOTS)
+        there = np.flatnonzero(total)
+        for i in range(0, len(there), 100_000):
+            at = there[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+
+    got = docs.select(text_col).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def prefix(h: np.ndarray, often: np.ndarray, least: float = NEAR_SHARED) -> np.ndarray:
+    """The rarest of a text's shingles, in order: as many that two texts which share `least` have their first common one in both."""
+    n = len(h)
+    return h[np.lexsort((h, often[(h >> np.uint64(44)).astype(np.int64)]))[: n - int(np.ceil(least * n - 1e-9)) + 1]]
+
+
+def _pairs_apart(key: np.ndarray, root: np.ndarray, node: np.ndarray, nth: np.ndarray, size: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """Pairs (a > b) of one key and different roots whose sizes and places allow `least`; rows come sorted by key and root."""
+    edge = np.flatnonzero(np.diff(key)) + 1
+    run = np.union1d(edge, np.flatnonzero(np.diff(root)) + 1)
+    row = np.arange(len(key))
+    start = np.append(run, len(key))[np.searchsorted(run, row, "right")]
+    end = np.append(edge, len(key))[np.searchsorted(edge, row, "right")]
+    at = np.flatnonzero(end > start)
+    many = (end - start)[at]
+    total = np.cumsum(many)
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right")))
+        x = np.repeat(at[i:j], many[i:j])
+        y = np.arange(len(x)) - np.repeat(np.cumsum(many[i:j]) - many[i:j], many[i:j]) + np.repeat(start[at[i:j]], many[i:j])
+        i = j
+        low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+        need = np.ceil(least / (1 + least) * (low + high) - 1e-9)
+        ok = (low >= np.ceil(least * high - 1e-9)) & (np.minimum(size[x] - nth[x], size[y] - nth[y]) >= need)
+        x, y = node[x[ok]], node[y[ok]]
+        if len(x):
+            yield np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
+
+
+def sharing(docs: DataFrame, rooted: DataFrame, least: float = NEAR_SHARED, text_col: str = "text") -> DataFrame:
+    """All pairs (a > b) of texts of different roots that can share `least` of their shingles: an exact prefix filter.
+
+    Texts that share so much have a shingle in common among the rarest fifth of each, in any order that all texts
+    agree on; here rare ones come first. `rooted`: node (hash of a text), root.
+    """
+    spark = docs.sparkSession
+    often = spark.sparkContext.broadcast(frequencies(docs, text_col))
+    texts = only(docs, text=text_col).select(F.xxhash64("text").alias("node"), "text").dropDuplicates(["node"]).join(rooted.select("node", "root"), "node")
+    names = ["key", "root", "node", "nth", "size"]
+
+    def post(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for b in (whole.slice(i, 200) for i in range(0, whole.num_rows, 200)):
+                size, keys = [], []
+                for t in b.column("text").to_pylist():
+                    h = hashes(t)
+                    size.append(len(h))
+                    keys.append(prefix(h, often.value, least).view(np.int64))
+                each = np.array([len(k) for k in keys])
+                nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                cols = [np.concatenate(keys), *(np.repeat(b.column(n).to_numpy(), each) for n in ("root", "node")), nth.astype(np.int32), np.repeat(np.array(size, np.int32), each)]
+                yield from (pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cols], names) for i in range(0, len(nth), 50_000))
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What belongs to the last key of a batch waits for the next."""
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for a, b in _pairs_apart(*(np.concatenate(x) for x in zip(*held, strict=True)), least):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            now = tuple(batch.column(n).to_numpy() for n in names)
+            last = np.searchsorted(now[0], now[0][-1])
+            if last or held and held[-1][0][-1] != now[0][0]:
+                held.append(tuple(x[:last] for x in now))
+                yield from done()
+                held = []
+            held.append(tuple(x[last:] for x in now))
+        if held:
+            yield from done()
+
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.mapInArrow(post, "key long, root long, node long, nth int, size int")
+    return rows.repartition(partitions, "key").sortWithinPartitions("key", "root").mapInArrow(compare, "a long, b long").distinct()
+
+
+#: Counts in a text's sketch: its shingles by nine bits of their hashes, 255 at most.
+SKETCH = 512
+
+
+def possible(pairs: DataFrame, docs: DataFrame, least: float = NEAR_SHARED, text_col: str = "text") -> DataFrame:
+    """Those of the pairs (a, b) whose sketches allow `least`, so that fewer whole texts are moved.
+
+    Sketches differ by no more than the number of shingles that only one of the texts has: none that share so much goes.
+    """
+    needed = pin(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = only(docs, text=text_col).select(F.xxhash64("text").alias("node"), "text").join(small(needed), "node", "left_semi").dropDuplicates(["node"])
+
+    def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found = [hashes(t) for t in b.column("text").to_pylist()]
+            made = [np.minimum(np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes() for h in found]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(h) for h in found], pa.int64()), pa.array(made, pa.binary())], ["node", "size", "sketch"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            x, y = (np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for n in ("sketch_a", "sketch_b"))
+            both = b.column("size_a").to_numpy() + b.column("size_b").to_numpy()
+            yield b.select(["a", "b"]).filter(pa.array((both - np.abs(x - y).sum(axis=1)) / 2 >= least / (1 + least) * both - 1e-6))
+
+    made = pin(texts.mapInArrow(sketch, "node long, size long, sketch binary"))
+    both = pairs
+    for n in ("a", "b"):
+        both = both.join(made.toDF(n, f"size_{n}", f"sketch_{n}").hint("merge"), n)
+    return both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of least id of each group of near copies, with all columns of `docs`.
 
-    Anchors find candidates among distinct texts; only those that share 0.8 of their distinct five-word
-    shingles (compared in whole) are linked. Where a pair of a forest fails, another might pass: a second round
-    compares each text with the nearest ones of other groups. Texts that agree to 0.8 differ in 0.15 of the bits on average;
-    192 bits and 46 differences take all but a few pairs from there up. Of repeated rows one is kept.
+    Texts are linked if they share 0.8 of their distinct five-word shingles, compared in whole. Anchors find most
+    links among distinct texts (those at 0.8 differ in 0.15 of the bits on average), so that large groups are
+    never expanded; then every pair of different groups that can share 0.8 is found by a prefix filter and
+    compared, so the groups are those of brute force. Of repeated rows one is kept.
     Texts without words (null, empty) are alike. An empty table gives an empty result.
     """
     names = [f"f{i}" for i in range(NEAR_LANES)]
@@ -412,9 +556,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = pin(rows.groupBy(F.col("text_key").alias("node")).agg(*(F.first(n).alias(n) for n in names)))
     pairs = pin(links(nodes, NEAR_DISTANCE, NEAR_LANES, NEAR_LANE, mutual=True))
     tree = components(verified(pairs, docs, text_col=text_col))
-    rooted = pin(nodes.join(tree.withColumnRenamed("node", "child"), nodes.node == F.col("child"), "left").select("node", *names, F.coalesce("root", "node").alias("root")))
-    more = pin(links(rooted, NEAR_DISTANCE, NEAR_LANES, NEAR_LANE, mutual=True).join(pairs, ["a", "b"], "left_anti"))
-    more = verified(more, docs, text_col=text_col)
+    rooted = pin(nodes.join(tree.withColumnRenamed("node", "child"), nodes.node == F.col("child"), "left").select("node", F.coalesce("root", "node").alias("root")))
+    more = pin(sharing(docs, rooted, text_col=text_col).join(pairs, ["a", "b"], "left_anti"))
+    more = verified(pin(possible(more, docs, text_col=text_col)), docs, text_col=text_col)
     if not more.isEmpty():
         tree = components(tree.toDF("a", "b").union(more))
     tree = tree.withColumnRenamed("node", "child")
