@@ -28,8 +28,8 @@ SEED = 42
 BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, lanes: int = 1) -> tuple[int, ...]:
-    """Lanes of 64 bits of the whole text's word shingles, repeats included; 0 if there are no words.
+def fingerprint(text: str | None, shingle: int = SHINGLE, lanes: int = 1, distinct: bool = False) -> tuple[int, ...]:
+    """Lanes of 64 bits of the whole text's word shingles, repeats included unless `distinct`; 0 if there are no words.
 
     The first lane is of the shingles' XXH64, further ones of hashes derived from it.
     """
@@ -43,6 +43,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, lanes: int = 1) -> tup
     ends = np.cumsum(sizes + 1) - 1
     starts, ends = (ends - sizes)[: max(1, len(words) - shingle + 1)].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
     h = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
+    if distinct:
+        h = np.unique(h)
     out, n = [], len(h)
     for _ in range(lanes):
         total = np.zeros(64, np.int64)
@@ -54,7 +56,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, lanes: int = 1) -> tup
     return tuple(out)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """doc_id, text_key (hash of the text), f0, f1... (lanes as signed longs) for every row."""
     batches(docs.sparkSession)
     docs = only(docs, doc_id=id_col, text=text_col).withColumn("text_key", F.xxhash64("text"))
@@ -62,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, lanes: int = 1, id_col
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            fps = np.array([fingerprint(t, shingle, lanes) for t in b.column("text").to_pylist()], np.uint64).reshape(-1, lanes).view(np.int64)
+            fps = np.array([fingerprint(t, shingle, lanes, distinct) for t in b.column("text").to_pylist()], np.uint64).reshape(-1, lanes).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(lanes))], ["doc_id", "text_key", *names])
 
     return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("text_key", *names))]))
@@ -552,7 +554,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts without words (null, empty) are alike. An empty table gives an empty result.
     """
     names = [f"f{i}" for i in range(NEAR_LANES)]
-    rows = pin(fingerprints(docs, NEAR_SHINGLE, NEAR_LANES, id_col, text_col))
+    rows = pin(fingerprints(docs, NEAR_SHINGLE, NEAR_LANES, id_col, text_col, distinct=True))
     nodes = pin(rows.groupBy(F.col("text_key").alias("node")).agg(*(F.first(n).alias(n) for n in names)))
     pairs = pin(links(nodes, NEAR_DISTANCE, NEAR_LANES, NEAR_LANE, mutual=True))
     tree = components(verified(pairs, docs, text_col=text_col))

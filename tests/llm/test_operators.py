@@ -347,3 +347,19 @@ def test_dedup_finds_pairs_in_a_family_of_loosely_alike_texts(spark):
     assert len(set(root)) < 151
     out = simhash.deduplicated(table(spark, texts))
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(root))
+
+
+def test_dedup_links_texts_with_a_repeated_line(spark):
+    """A line repeated 30 times leaves the distinct shingles, and so the candidates' bits, nearly as they are."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(4):
+        words = " ".join(f"{rng.choice(WORDS)}" for _ in range(800))
+        texts += [words, words + " this line is here many times" * 30]
+    for a, b in zip(texts[::2], texts[1::2], strict=True):
+        assert simhash.shared(simhash.shingles(a), simhash.shingles(b)) > 0.98
+    docs = table(spark, texts)
+    rows = {r.doc_id: r for r in simhash.fingerprints(docs, simhash.NEAR_SHINGLE, simhash.NEAR_LANES, distinct=True).collect()}
+    bits = [sum(((rows[i][f"f{k}"] ^ rows[i + 1][f"f{k}"]) & (1 << 64) - 1).bit_count() for k in range(simhash.NEAR_LANES)) for i in range(0, 8, 2)]
+    assert max(bits) <= simhash.NEAR_DISTANCE, bits
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == [0, 2, 4, 6]
