@@ -25,8 +25,8 @@ KINDS = ("assign", "access", "hex", "weak_secret", "weak_id", "endpoint")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a maximal run, as [0-9a-f]+ would find it
-_WEAK_ID = re.compile(r"\b(?:client|account|access|user|login)(?:[_-]?(?:id|name|key))?[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@+-]{4,64})", re.I | re.A)
-_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[a-z])(?=[A-Za-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{24,128}(?![A-Za-z0-9+/_=-])")
+_WEAK_ID = re.compile(r"\b(?:client|account|access|user|login)(?:[_-]?(?:id|name|key))?[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@+-]{4,})", re.I | re.A)
+_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[a-z])(?=[A-Za-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{24,}")
 _ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+", re.A)
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
 

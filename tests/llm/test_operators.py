@@ -363,3 +363,11 @@ def test_dedup_links_texts_with_a_repeated_line(spark):
     bits = [sum(((rows[i][f"f{k}"] ^ rows[i + 1][f"f{k}"]) & (1 << 64) - 1).bit_count() for k in range(simhash.NEAR_LANES)) for i in range(0, 8, 2)]
     assert max(bits) <= simhash.NEAR_DISTANCE, bits
     assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == [0, 2, 4, 6]
+
+
+def test_long_weak_parts_are_masked_whole():
+    key, secret, login = "AKIA" + "ABCDEFGHIJ234567", "aB3" * 114, "m" * 90
+    text = f"{key} {secret} and login: {login} end"
+    found = {k: text[s:e] for s, e, k in secrets.spans_of(text)}
+    assert found["weak_secret"] == secret and found["weak_id"] == login
+    assert secrets.redacted(text, secrets.spans_of(text)) == "[SECRET] [SECRET] and login: [SECRET] end"
