@@ -371,3 +371,14 @@ def test_long_weak_parts_are_masked_whole():
     found = {k: text[s:e] for s, e, k in secrets.spans_of(text)}
     assert found["weak_secret"] == secret and found["weak_id"] == login
     assert secrets.redacted(text, secrets.spans_of(text)) == "[SECRET] [SECRET] and login: [SECRET] end"
+
+
+def test_quality_rejects_by_perplexity_alone(spark):
+    rng = random.Random(4)
+    syllables = ["ea", "on", "er", "ti", "wh", "ou", "sh", "the", "an", "or", "ed", "st", "ing", "ble"]
+    prose = [[rng.choice(syllables) + rng.choice(syllables) for _ in range(rng.randrange(60, 200))] for _ in range(150)]
+    odd = [" | ".join(prose[k]) if k < 3 else " ".join(w if rng.random() < 0.8 else w.upper() for w in prose[k]) for k in range(6)]
+    out = {r.doc_id: r for r in quality.judged(table(spark, [" ".join(w) for w in prose] + odd)).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert not any(out[i].kept for i in range(150, 156)), [(r.bits, r.upper) for i, r in out.items() if i >= 150]
+    assert sum(out[i].kept for i in range(150)) >= 148
