@@ -8,10 +8,11 @@ The plan equals the one-document-at-a-time algorithm: equal lengths are intercha
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,22 +26,41 @@ from loomspan.llm.common import batches, only, pin
 
 CAPACITY = 4096
 END_ID = 1
-#: Entries kept of the word-to-ids cache, and the longest word that is kept in it.
-CACHE_WORDS, CACHE_CHARS = 250_000, 64
+#: Pieces in one generation of the cache of ids (two are kept), and the longest piece that is kept in it.
+CACHE_PIECES, CACHE_CHARS = 250_000, 64
 
+# The steps of the tokenizer whose texts may be encoded piece by piece.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: Text of ASCII and Latin letters only, which no normal form changes; and, once in small letters, its pieces.
+_PLAIN = re.compile(r"[\t\n -~À-ÖØ-öø-ÿ]*+")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
-#: A word of Latin letters that no normal form changes, and what may follow it without joining it.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+class _Pieces(dict[str, bytes]):
+    """Ids of pieces, of the generation in use; what it lacks comes from the one before or is encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes], before: dict[str, bytes]) -> None:
+        super().__init__()
+        self.encode, self.before = encode, before
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.before.get(piece)
+        if got is None:
+            got = self.encode(piece)
+        if len(piece) <= CACHE_CHARS:
+            self[piece] = got
+        return got
 
 
 class Encoder:
-    """Ids of whole texts, word by word.
+    """Ids of whole texts, piece by piece.
 
-    The tokenizer never joins characters across a space or newline, so the ids of a text are those
-    of its space-separated parts in turn, and repeated ones are encoded once. Of a part that is a
-    plain word with punctuation after it, the word goes straight to the vocabulary's merges, in the
-    tokenizer's byte alphabet: its normaliser would only lower the case, and its pre-tokeniser only
-    part the punctuation. All other parts take the tokenizer's whole way.
+    A tokenizer with the steps of `_NORMALIZERS` and `_SPLIT` lowers the case and parts a text into runs of
+    letters, single digits and runs of other signs; the ids of a text are those of its pieces in turn, so
+    repeated pieces go to the vocabulary's merges once. That holds for plain texts; in others each
+    space-separated part that is not plain, or holds an added token, takes the tokenizer's whole way, and so
+    do whole texts if the tokenizer has other steps.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,35 +68,43 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str())
+        first = ((steps["pre_tokenizer"] or {}).get("pretokenizers") or [None])[0]
+        self.by_piece = (steps["normalizer"] or {}).get("normalizers") == _NORMALIZERS and first == _SPLIT and steps["model"]["type"] == "BPE"
+        added = steps["added_tokens"] or []
+        self.by_piece &= not any(t["lstrip"] or t["rstrip"] or t["normalized"] or not t["content"] or any(c.isspace() for c in t["content"]) for t in added)
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)")
         self.tokenize = self.tokenizer.model.tokenize
         alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_of = {c: alphabet.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        self.words = {"": b""}
+        self.pieces = _Pieces(self.merged, {})
 
-    def word(self, text: str) -> bytes:
-        got = self.words.get(text)
-        if got is None:
-            got = array("I", [t.id for t in self.tokenize(text.translate(self.bytes_of))]).tobytes()
-            if len(text) <= CACHE_CHARS:
-                self.words[text] = got
-        return got
+    def merged(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(piece if piece.isascii() else piece.translate(self.bytes_of))]).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_piece:
+            return self.whole(text)
+        get = self.pieces.__getitem__
+        if self.plain(text):
+            return b"".join(map(get, _PIECE.findall(text.lower())))
+        parts = text.replace("\n", " ").split(" ")
+        return b"".join(b"".join(map(get, _PIECE.findall(p.lower()))) if self.plain(p) else self.whole(p) for p in parts)
 
-    def __call__(self, texts: list[str | None], end: int) -> list[bytes]:
+    def plain(self, text: str) -> bool:
+        """Only ASCII and Latin letters, and none of the vocabulary's added tokens."""
+        return _PLAIN.fullmatch(text) is not None and not self.added.search(text)
+
+    def __call__(self, texts: list[str | None], end: int) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with `end` after them."""
-        texts_parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words = {"": b""}
-        known, other = {}, []
-        for part in set().union(*texts_parts):
-            m = _PLAIN.fullmatch(part)
-            if m:
-                known[part] = self.word(m[1].lower()) + self.word(m[2])
-            else:
-                other.append(part)
-        for part, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            known[part] = array("I", e.ids).tobytes()
-        get, tail = known.__getitem__, array("I", [end]).tobytes()
-        return [b"".join(map(get, p)) + tail for p in texts_parts]
+        tail = array("I", [end]).tobytes()
+        for t in texts:
+            if len(self.pieces) > CACHE_PIECES:
+                self.pieces = _Pieces(self.merged, dict(self.pieces))
+            yield (self.encode(t) if t else b"") + tail
 
 
 _encoders: dict[str, Encoder] = {}

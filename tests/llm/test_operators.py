@@ -67,6 +67,26 @@ def test_packing(docs, none, tokenizer):
     assert packing.pack(none, tokenizer).count() == 0
 
 
+def test_encoder_gives_the_tokenizers_ids(tokenizer, tmp_path):
+    """On odd texts, with a cache that is turned over all the time, and for a tokenizer of other steps."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    signs = ["don't", "STOP,", "now's", "İ", "ﬁ", "e\u0301", "ÀÉÑ!?", "ß×", "\x00", "日本語", "  ", "\t", "\n", "\r\n", "'ll'", "42", "a1b2", "<|endoftext|>", "x<|startoftext|>y", "µº", "\u00a0", "%%%", "œuvre"]
+    texts = ["", None, *signs, *("".join(rng.choice([*signs, " ", " "]) for _ in range(rng.randrange(1, 30))) for _ in range(500))]
+    whole = Tokenizer.from_file(tokenizer)
+    want = [array("I", [*whole.encode(t or "", add_special_tokens=False).ids, 1]).tobytes() for t in texts]
+    encode = packing.Encoder(tokenizer)
+    assert encode.by_piece and list(encode(texts, 1)) == want
+    encode.pieces = packing._Pieces(encode.merged, {})
+    assert [next(encode([t], 1)) for t in texts if encode.pieces.clear() is None] == want
+    other = re.sub(r'"type":\s*"Lowercase"', '"type": "Strip", "strip_left": false, "strip_right": false', whole.to_str())
+    (tmp_path / "other.json").write_text(other)
+    plain = Tokenizer.from_file(str(tmp_path / "other.json"))
+    encode = packing.Encoder(str(tmp_path / "other.json"))
+    assert not encode.by_piece and list(encode(texts, 1)) == [array("I", [*plain.encode(t or "", add_special_tokens=False).ids, 1]).tobytes() for t in texts]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_fit_equals_one_at_a_time(seed):
     rng = random.Random(seed)
