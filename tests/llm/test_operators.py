@@ -193,20 +193,85 @@ def test_quality_counts():
         assert quality.counts_of(t) == brute(t)
 
 
-def test_quality_model(spark, docs, none):
+def brute_kneser_ney(texts, order=quality.ORDER):
+    """bits of each text's characters in turn, by the textbook's recursion over plain dictionaries."""
+    pad = chr(quality.PAD) * (order - 1)
+    counts = {order: Counter((pad + t)[i : i + order] for t in texts for i in range(len(t)))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    off = {}
+    for n, c in counts.items():
+        seen = Counter(c.values())
+        y = seen[1] / max(seen[1] + 2 * seen[2], 1)
+        off[n] = [0, *(min(max(k - (k + 1) * y * seen[k + 1] / max(seen[k], 1), 0.1 * k), 0.95 * k) for k in (1, 2, 3))]
+    after = {n: {} for n in counts}
+    for n, c in counts.items():
+        for g, k in c.items():
+            total, mass = after[n].get(g[:-1], (0, 0))
+            after[n][g[:-1]] = total + k, mass + off[n][min(k, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        total, mass = after[len(g)].get(g[:-1], (0, 0))
+        if not total:
+            return p(g[1:])
+        k = counts[len(g)].get(g, 0)
+        return (k - off[len(g)][min(k, 3)] + mass * p(g[1:])) / total
+
+    assert all(abs(sum(p(c + x) for x in counts[1]) - 1) < 0.05 for c in list(after[order])[:20])
+    return {t: [-np.log2(p((pad + t)[i : i + order])) for i in range(len(t))] for t in texts}
+
+
+@pytest.mark.parametrize("most", [quality.FREQUENT, 40, 0])
+def test_quality_model(spark, docs, none, most, monkeypatch):
+    """Scores equal those of brute force, wherever an n-gram is looked up and however texts are cut."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcde \0é日\U0001f600") for _ in range(rng.randrange(1, 300))) for _ in range(30)]
+    texts += [texts[0], "a"]
+    monkeypatch.setattr(quality, "SLAB", 100)
+    want = brute_kneser_ney(texts)
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(100, "zzz yyy", "fr"), (101, "", "en"), (102, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r.bits for r in quality.scored(frame, most=most).collect()}
+    assert got[101] is None and got[102] is None and got[100] > 0
+    if most:
+        assert len(got) == len(rows)
+    alone = {r.doc_id: r.bits for r in quality.scored(frame.where("lang = 'en'"), most=most).collect()}
+    assert all(abs(alone[i] - np.mean(want[t])) < 1e-4 for i, t in enumerate(texts))
+
+
+def test_quality_cuts_texts_without_loss(monkeypatch):
+    monkeypatch.setattr(quality, "SLAB", 10)
+    texts = ["abcdefghijklmnopqrstuvwxyz" * 3, "", None, "é", "0123456789", "x" * 11]
+    got = Counter()
+    for codes, at, nth, lang in quality._slabs(texts, ["en"] * len(texts)):
+        assert len(codes) < 10 + 10 + quality.ORDER and len(set(lang)) == 1
+        got.update((int(n), "".join(map(chr, g))) for n, g in zip(nth, zip(*quality._columns(codes, at), strict=True), strict=True))
+    pad = chr(quality.PAD) * 3
+    assert got == Counter((n, (pad + t)[i : i + 4]) for n, t in enumerate(texts) if t for i in range(len(t)))
+
+
+def test_quality_odd_inputs(docs, none):
     out = {r.doc_id: r for r in quality.judged(docs).collect()}
     assert not out[0].kept and not out[1].kept and out[8].kept
-    model = quality.fit(table(spark, PLAIN).select("text", "lang"))
-    dense = quality._expanded(model)
-    plain, odd = quality.surprise([PLAIN[3], "zq#xv jkq!! bbbbb zzzz qqq"], ["en", "en"], dense)
-    assert plain < 4 < odd
-    one = quality._keys(np.array([65], np.uint64), np.array([0], np.uint64))
-    assert len(one) == quality.ORDER + 1
-    total = sum(2.0 ** -quality.surprise([c], ["en"], dense)[0] for c in map(chr, range(32, 127)))
-    assert 0.9 < total < 1.05  # probabilities of a first character
     assert quality.judged(none).count() == 0
 
 
+def test_quality_bands(spark):
+    """A null language has a band of its own, and a text with very many copies doesn't narrow the band of others."""
+    rng = random.Random(9)
+    prose = lambda words: " ".join(rng.choice(words) for _ in range(rng.randrange(60, 100)))
+    latin, other = WORDS[:50], [f"{chr(0x430 + i % 30)}{chr(0x431 + i % 29)}{chr(0x432 + i % 7)}" for i in range(50)]
+    rows = [(i, prose(latin), "en") for i in range(100)] + [(i, prose(other), None) for i in range(100, 160)]
+    hot = prose(latin)
+    rows += [(i, hot, "en") for i in range(200, 500)]
+    out = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(out[i].kept for i in range(100)) >= 98 and sum(out[i].kept for i in range(100, 160)) >= 58
+    assert len({out[i].kept for i in range(200, 500)}) == 1
+    assert {round(out[i].lower, 3) for i in range(100)}.isdisjoint({round(out[i].lower, 3) for i in range(100, 160)})
+
+
 def brute_fingerprint(t):
     import xxhash
 
@@ -303,6 +368,74 @@ def test_html(spark):
     assert html_extraction.extract(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_html_inside_the_article():
+    text = lambda page: html_extraction.main_text(page, None, None, None)
+    page = "<article><h1>T</h1><div class='market-share'>Body one</div><p class='alert-level'>Body two</p><p>Body three</p><div class='ad-box'>buy</div><div class=cookieNotice>c</div><ol id=reader-comments><li>me</ol></article>"
+    assert text(page) == "T\nBody one\nBody two\nBody three"
+    assert text("<article><b class=ad>x <b>y</b> z</b> stays <span class=promo>gone<div>gone</div></span>here") == "stays\nhere"
+    assert text("<article><p><b class=ad><i><i><i><i><i><i>deep</b>stays</article>") == "stays"
+
+
+def test_html_reads_hostile_pages_in_linear_time():
+    import time
+
+    for page in ("<a " * 100_000, "<a '" * 100_000, "<a '>' " * 100_000, "<div>" * 50_000 + "x", "<p>" + "<h1>" * 50_000, "<td><table>" + "<h1>" * 20_000 + "<td></td>" * 20_000, "<b class=ad>" * 30_000 + "</b>" * 30_000, "<!--" * 50_000, "<script>" * 50_000):
+        start = time.process_time()
+        html_extraction.main_text(page, None, None, None)
+        assert time.process_time() - start < 3, page[:20]
+    long = "<p>" + "word " * 1_000_000
+    assert html_extraction.main_text(long, None, None, None) == ("word " * 1_000_000).strip()
+
+
+def plain_pages(host, n, comments=0):
+    """Pages without a word that tells what their parts are; menus, teasers and bodies vary from page to page."""
+    rng = random.Random(host)
+    text = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
+    rows, want = [], {}
+    for i in range(n):
+        head, paras = text(5), [text(rng.randrange(30, 80)) for _ in range(4)]
+        links = "".join(f"<li><a href=/x>{text(3)}</a>" for _ in range(6))
+        extra = f"<div class=k>{text(8)}</div>" if i % 2 else ""
+        rows.append((1000 * len(host) + i, f"http://{host}/{i}", f"<html><body><div class=a><ul>{links}</ul></div><div class=b>Fixed words of the host</div><div class=c><div class=d><h1>{head}</h1></div><div class=e>{''.join('<p>' + p for p in paras)}</div></div>{extra}<div class=f>{text(6)}</div></body></html>"))
+        want[rows[-1][0]] = "\n".join([head, *paras])
+    return rows, want
+
+
+def test_html_deduces_unnamed_articles(spark):
+    """Menus vary, nothing is named, and a third of the pages are copies of one."""
+    rows, want = plain_pages("one.org", 12)
+    more, also = plain_pages("two.example.org", 9)
+    rows += [(5000 + i, "http://one.org/copy", rows[0][2]) for i in range(7)]
+    want |= also | {5000 + i: want[rows[0][0]] for i in range(7)}
+    got = {r.page_id: r.text for r in html_extraction.extract(pages(spark, rows + more)).collect()}
+    assert got == want
+
+
+def test_html_classes_are_those_of_brute_force(spark):
+    """Tokens of one host: equal counts on every page, by whole vectors and by the sums of hashes."""
+    rows, _ = plain_pages("one.org", 10)
+    keyed = pages(spark, rows).selectExpr("'h' AS host", "xxhash64(html) AS page", "html")
+    toks = html_extraction.tokens(keyed)
+    vectors, parent = {}, {}
+    for r in toks.collect():
+        vectors.setdefault(r.path, {})[r.page] = r.n
+        parent[r.path] = r.parent
+    want = {}
+    for path, v in vectors.items():
+        same = lambda p, v=v: vectors.get(p) == v
+        top = path
+        while same(parent[top]):
+            top = parent[top]
+        want.setdefault((tuple(sorted(v.items())), parent[top]), set()).add(path)
+    roles = toks.dropDuplicates(["host", "page", "path"])
+    from pyspark.sql import functions as F
+
+    grouped = roles.groupBy("path").agg(F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).cast("string").alias("vector"), F.min("parent").alias("parent"))
+    got = html_extraction.classes([r.asDict() for r in grouped.collect()])
+    assert sorted(sorted(r["path"] for r in c) for c in got) == sorted(map(sorted, want.values()))
+    assert len(got) == 2  # the skeleton, and what every other page has
+
+
 def test_warc(spark, tmp_path):
     big = "é" * 600
     rows = [(1, "http://a/\u00e9?x=1", big), (7, "http://b", big), (3, None, big), (4, "http://c", None), (5, "http://d", "s"), (6, "http://e", "s"), (None, "http://f", big)]
