@@ -1,8 +1,11 @@
 """URL filters: longest matching rule, else link-graph propagation of trust and distrust.
 
 Hosts under allow rules seed a personalised PageRank along links; hosts under block rules seed one
-along reversed links (a page that links to a blocked host is suspect). A host whose distrust exceeds
-both its trust and a share of what a seed starts with is blocked. DataFrame functions only.
+along reversed links (a host that links to a blocked host is suspect). A host takes from each neighbour by
+that neighbour's part of its own links, so its rank is the chance that a walk from it, which goes on with
+chance `DAMPING` at each step, comes to a seed: along its links for distrust, back along the links to it for
+trust. Seeds rank 1, and no rank depends on how many others link to the same seed. A host whose distrust
+exceeds both its trust and `LEAST` is blocked. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -14,11 +17,11 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import only, pin, small
 
-#: Chance of following a link, rounds, and the share of a seed's own start from which distrust blocks.
-DAMPING, ROUNDS, LEAST = 0.85, 8, 0.5
+#: Chance of going on, steps, and the distrust that blocks: about that of a host with half of its links to blocked hosts.
+DAMPING, ROUNDS, LEAST = 0.85, 8, 0.4
 #: A host is a seed if more than this share of its pages fits allow (or block) rules.
 SEED_SHARE = 0.5
-HREF = r"""(?i)href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+HREF = r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 @dataclass(frozen=True)
@@ -57,18 +60,19 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
     return found
 
 
-def _share(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Edges a -> b with the share of a's weight that each carries."""
-    return edges.join(edges.groupBy(a).agg(F.sum("n").alias("all")), a).select(F.col(a).alias("a"), F.col(b).alias("b"), (F.col("n") / F.col("all")).alias("w"))
+def _share(edges: DataFrame, seeds: DataFrame, a: str, b: str) -> DataFrame:
+    """Edges a -> b with the part of b's links that each is. Seeds take nothing from others."""
+    taken = edges.join(small(seeds.select(F.col("host").alias(b))), b, "left_anti")
+    return taken.join(taken.groupBy(b).agg(F.sum("n").alias("all")), b).select(F.col(a).alias("a"), F.col(b).alias("b"), (F.col("n") / F.col("all")).alias("w"))
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank: host, rank. seeds: host, start (sums to 1). edges: a, b, w.
+    """host, rank from seeds (host; rank 1) along edges (a, b, w).
 
-    Mass at hosts without links is dropped. A round joins on the source host and sums by target;
-    results are written every few rounds, so the lineage stays short.
+    A round joins on the host that gives and sums by the one that takes; results are written every few
+    rounds, so the lineage stays short.
     """
-    base = seeds.select("host", (F.col("start") * (1 - damping)).alias("rank"))
+    base = seeds.select("host", F.lit(1.0).alias("rank"))
     rank = base
     for i in range(rounds):
         sent = edges.join(rank, edges.a == rank.host).select(F.col("b").alias("host"), (F.col("rank") * F.col("w") * damping).alias("rank"))
@@ -78,9 +82,14 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     return rank
 
 
+def _target(url: Column) -> Column:
+    """Host of a link, which may leave out the scheme."""
+    return host_of(F.when(url.startswith("//"), F.concat(F.lit("x:"), url)).otherwise(url))
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """Host edges of the pages' absolute links: src, dst, n (pages with that link). Needs host and html."""
-    targets = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), F.lit(1)), host_of))
+    """Host edges of the pages' links to other hosts: src, dst, n (pages with that link). Needs host and html."""
+    targets = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), F.lit(1)), _target))
     pairs = pages.select(F.col("host").alias("src"), F.explode(targets).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
@@ -101,13 +110,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DA
     edges = pin(links(rows))
     good = hosts.where(F.col("allowed") > F.col("n") * SEED_SHARE).select("host")
     bad = hosts.where(F.col("blocked") > F.col("n") * SEED_SHARE).select("host")
-    n_good, n_bad = good.count(), bad.count()
     if edges.isEmpty():
         rounds = 0
-    trust = propagate(good.withColumn("start", F.lit(1.0 / max(n_good, 1))), _share(edges, "src", "dst"), damping, rounds)
-    distrust = propagate(bad.withColumn("start", F.lit(1.0 / max(n_bad, 1))), _share(edges, "dst", "src"), damping, rounds)
-    floor = least * (1 - damping) / max(n_bad, 1)
-    shunned = distrust.withColumnRenamed("rank", "distrust").join(trust, "host", "left").where((F.col("distrust") >= floor) & (F.col("distrust") > F.coalesce("rank", F.lit(0.0)))).select("host", F.lit(True).alias("shunned"))
+    trust = propagate(good, _share(edges, good, "src", "dst"), damping, rounds)
+    distrust = propagate(bad, _share(edges, bad, "dst", "src"), damping, rounds).select("host", F.round("rank", 9).alias("distrust"))
+    shunned = distrust.where(F.col("distrust") >= least).join(trust, "host", "left").where(F.col("distrust") > F.round(F.coalesce("rank", F.lit(0.0)), 9)).select("host", F.lit(True).alias("shunned"))
     out = rows.drop("html").join(small(shunned), "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("shunned"), "block").otherwise("allow")).alias("verdict"))
 
@@ -129,13 +136,13 @@ def oracle_sql(rules: tuple[Rule, ...] = RULES, damping: float = DAMPING, rounds
         f"r AS (SELECT *, CASE {fits} END AS rule FROM p)",
         f"v AS (SELECT *, CASE rule {verdict} END AS by_rule FROM r)",
         "h AS (SELECT host, count(*) AS n, count(*) FILTER (by_rule = 'allow') AS allowed, count(*) FILTER (by_rule = 'block') AS blocked FROM v WHERE host <> '' GROUP BY host)",
-        f"l AS (SELECT DISTINCT page_id, host AS src, {host.format('u')} AS dst FROM (SELECT page_id, host, unnest(regexp_extract_all(coalesce(html, ''), '{href}', 1, 'i')) AS u FROM v))",
+        f"l AS (SELECT DISTINCT page_id, host AS src, {host.format("(CASE WHEN starts_with(u, '//') THEN 'x:' || u ELSE u END)")} AS dst FROM (SELECT page_id, host, unnest(regexp_extract_all(coalesce(html, ''), '{href}', 1, 'i')) AS u FROM v))",
         "e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst)",
     ]
     for name, share, a, b in (("t", "allowed", "src", "dst"), ("d", "blocked", "dst", "src")):
-        parts += [f"{name}s AS (SELECT host, {1 - damping} / count(*) OVER () AS rank FROM h WHERE {share} > n * {SEED_SHARE})", f"{name}w AS (SELECT {a} AS a, {b} AS b, n / sum(n) OVER (PARTITION BY {a}) AS w FROM e)", f"{name}0 AS (SELECT * FROM {name}s)"]
+        parts += [f"{name}s AS (SELECT host, 1.0::double AS rank FROM h WHERE {share} > n * {SEED_SHARE})", f"{name}w AS (SELECT {a} AS a, {b} AS b, n / sum(n) OVER (PARTITION BY {b}) AS w FROM e WHERE {b} NOT IN (SELECT host FROM {name}s))", f"{name}0 AS (SELECT * FROM {name}s)"]
         parts += [f"{name}{i + 1} AS (SELECT host, sum(rank) AS rank FROM (SELECT * FROM {name}s UNION ALL SELECT b, rank * w * {damping} FROM {name}{i} JOIN {name}w ON a = host) GROUP BY host)" for i in range(rounds)]
-    parts.append(f"bad AS (SELECT d.host FROM d{rounds} d LEFT JOIN t{rounds} t ON d.host = t.host WHERE d.rank >= {least * (1 - damping)} / (SELECT greatest(count(*), 1) FROM ds) AND d.rank > coalesce(t.rank, 0))")
+    parts.append(f"bad AS (SELECT d.host FROM d{rounds} d LEFT JOIN t{rounds} t ON d.host = t.host WHERE round(d.rank, 9) >= {least} AND round(d.rank, 9) > round(coalesce(t.rank, 0), 9))")
     return f"WITH {', '.join(parts)} SELECT page_id, v.host AS host, path, rule, coalesce(by_rule, CASE WHEN bad.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM v LEFT JOIN bad ON v.host = bad.host"
 
 
