@@ -42,16 +42,37 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _meets(spans: list[tuple[int, int]], others: list[tuple[int, int]], breaks: list[int], scope: int) -> list[bool]:
-    """Interval join: whether each span has another within `scope` and in its paragraph; others are sorted by start."""
-    starts = [s for s, _ in others]
-    longest = max((e - s for s, e in others), default=0)
-    out = []
+    """Interval join: whether each span has another beside it within `scope` and in its paragraph.
+
+    No span holds a line's end, so if any on one side is near enough, the nearest is.
+    """
+    starts, ends, out = sorted(a for a, _ in others), sorted(b for _, b in others), []
     for s, e in spans:
-        near = others[bisect_left(starts, s - scope - longest) : bisect_right(starts, e + scope)]
-        out.append(any(b >= s - scope and (a, b) != (s, e) and (b <= s or a >= e) and bisect_left(breaks, min(s, a)) == bisect_left(breaks, max(s, a)) for a, b in near))
+        paragraph = bisect_left(breaks, s)
+        i, j = bisect_right(ends, s) - 1, bisect_left(starts, e)
+        before = i >= 0 and ends[i] >= s - scope and bisect_left(breaks, ends[i]) == paragraph
+        out.append(before or j < len(starts) and starts[j] <= e + scope and bisect_left(breaks, starts[j]) == paragraph)
     return out
 
 
+class _Covered:
+    """Spans laid together, to ask whether another overlaps any of them."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def __call__(self, s: int, e: int) -> bool:
+        i = bisect_left(self.starts, e) - 1
+        return i >= 0 and self.ends[i] > s
+
+
 def linked_spans(text: str, base: list[tuple[int, int, str]], scope: int = SCOPE) -> list[tuple[int, int, str]]:
     """Weak candidates whose complementary parts co-occur."""
     named = "=" in text or ":" in text
@@ -63,9 +84,11 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], scope: int = SCOPE
     strong = [(s, e) for s, e, k in base if k != "access"]
     weak = [(m.start(), m.end()) for m in _ASSIGN.finditer(text) if 4 <= len(m[2]) < 12] if named else []
     weak += [(m.start(), m.end()) for m in _RANDOM.finditer(text)]
-    weak = sorted({(s, e) for s, e in weak if not any(a < e and s < b for a, b, _ in base)})
-    weak_ids = [(s, e) for s, e in weak_ids if not any(a < e and s < b for a, b in weak) and not any(a < e and s < b for a, b, _ in base)]
-    ids, secrets, breaks = sorted(access + weak_ids), sorted(strong + weak), [m.start() for m in _PARAGRAPH.finditer(text)]
+    sure = _Covered([(s, e) for s, e, _ in base])
+    weak = sorted({(s, e) for s, e in weak if not sure(s, e)})
+    taken = _Covered(weak)
+    weak_ids = [(s, e) for s, e in weak_ids if not taken(s, e) and not sure(s, e)]
+    ids, secrets, breaks = access + weak_ids, strong + weak, [m.start() for m in _PARAGRAPH.finditer(text)]
     out = [(*x, "weak_secret") for x, near_id in zip(weak, _meets(weak, ids, breaks, scope), strict=True) if near_id]
     out += [(*x, "weak_id") for x, near in zip(weak_ids, _meets(weak_ids, secrets, breaks, scope), strict=True) if near]
     return out + [(*x, "endpoint") for x, a, b in zip(points, _meets(points, ids, breaks, scope), _meets(points, secrets, breaks, scope), strict=True) if a and b]
@@ -85,7 +108,11 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struc
 
 
 def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, spans (array of start, end, kind) for every row; repeated rows come out as often."""
+    """doc_id, spans (array of start, end, kind) for every row, by start, then kind, then end.
+
+    Null and empty texts have no spans; repeated rows come out as often, with equal spans; an empty table
+    gives an empty result. Time grows with a text's length and the logarithm of its parts.
+    """
     batches(docs.sparkSession)
     docs = only(docs, doc_id=id_col, text=text_col)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
