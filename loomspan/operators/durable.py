@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Most rows of a table that is broadcast, and most edges of a graph that one task works on.
+BROADCAST_ROWS, LOCAL_EDGES = 100_000, 500_000
 
-def pin(df: DataFrame) -> DataFrame:
-    """Write `df` to the folder that the session's spark.checkpoint.dir names and go on from the files.
 
-    A private folder is used only where the session names none, as in tests.
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Have the session write checkpoints to the folder that its spark.checkpoint.dir names.
+
+    Where it names none, a private folder will do on one machine, and goes at exit; a cluster is refused,
+    as its executors would not share the folder.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomspan-"))
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="loomspan-")
+        atexit.register(shutil.rmtree, named, True)
+    spark.sparkContext.setCheckpointDir(named)
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Write `df` to the checkpoint folder and go on from the files."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `rows` rows (counted), else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

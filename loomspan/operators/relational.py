@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomspan.operators.durable import pin
+from loomspan.operators.durable import LOCAL_EDGES, pin, small
 
 
 def used_anti(declared: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,41 +24,110 @@ def duplicate_groups(rows: DataFrame, keys: list[str], place: str, least: int =
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), places.alias("places"), confidence.alias("confidence")).where((F.col("n") >= least) & (F.col("places") >= least_places))
 
 
+def unique_by(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key no other row has; null keys are never unique."""
+    return rows.join(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("times")).where("times = 1").select(key), key, "left_semi")
+
+
 def top_per_group(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key; Spark's window group limit drops the rest before the shuffle."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """`rows` with place (from 0, in `order` within each key) and n (rows of the key).
+
+    The order is a total one. Rows are sorted as a whole, so a key with many of them is spread over
+    partitions; each partition's rows of a key are counted, and only the counts are added up by key.
+    """
+    line = pin(rows.orderBy(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = line.groupBy(*keys, part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    by_key = Window.partitionBy(*keys)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(by_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("_n").over(by_key))
+    met = line.withColumn("_part", part).alias("l").join(small(pin(counts)).alias("c"), [F.col(f"l.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "_part"]])
+    return met.select("l.*", (F.col("_before") + F.col("_at") - F.col("_first")).alias("place"), "n").drop("_at", "_part")
+
+
 def stride_sample(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
-    """At most `most` evenly spaced rows of each key, as places (i * n) div most."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("place", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count("*").over(w))
+    """At most `most` evenly spaced rows of each key, in `order` (a total one)."""
     stride = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(most)))
-    return ranked.where(F.col("place") % stride == 0).drop("n")
+    return ranked(rows, keys, order).where(F.col("place") % stride == 0).drop("n")
+
+
+def consecutive(rows: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
+    """Each row beside the next one of its key: the keys, and `columns` as they are and with the prefix next_.
+
+    A self join on key and place, so it yields one row for each, however many rows a key has.
+    """
+    here = pin(ranked(rows.select(*keys, *columns), keys, order))
+    after = here.select(*keys, (F.col("place") - 1).alias("place"), *(F.col(c).alias(f"next_{c}") for c in columns))
+    return here.join(after, [*keys, "place"]).select(*keys, *columns, *(f"next_{c}" for c in columns))
 
 
 def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str, separator: str = " ") -> DataFrame:
     """Each row with its longest matching prefix of whole parts, or null.
 
-    Every leading run of parts is a candidate for an equi-join; the longest that matches wins.
+    Every leading run of a distinct text's parts is a candidate for an equi-join; the longest that matches wins.
     """
-    parts = F.split(text, separator)
+    parts = F.split(F.col(text), separator)
     steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), separator))
-    keyed = rows.withColumn("_row", F.xxhash64(*rows.columns)).withColumn("_all", steps)
-    found = keyed.select("_row", F.explode("_all").alias(prefix)).distinct().join(F.broadcast(prefixes.select(prefix).distinct()), prefix)
-    best = found.groupBy("_row").agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
-    return keyed.join(best, "_row", "left").drop("_row", "_all")
+    texts = rows.select(text).where(F.col(text).isNotNull()).distinct()
+    found = texts.select(text, F.explode(steps).alias(prefix)).join(small(prefixes.select(prefix).distinct()), prefix)
+    return rows.join(found.groupBy(text).agg(F.max_by(prefix, F.length(prefix)).alias(prefix)), text, "left")
 
 
 def contained(inner: DataFrame, outer: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """Rows of `inner` with `at` within a span of `outer` of the same key: a hash join with a range residual."""
-    return inner.alias("i").join(outer.alias("o"), (F.col(f"i.{key}") == F.col(f"o.{key}")) & F.col(f"i.{at}").between(F.col(f"o.{start}"), F.col(f"o.{end}")), "left_semi")
+    """Rows of `inner` with `at` within a span of `outer` of the same key.
+
+    Spans are cut at multiples of their mean width, so a key with many rows is spread over its bins and a
+    span yields three rows on the average at most.
+    """
+    width = max(1, int(outer.agg(F.avg(F.col(end) - F.col(start))).first()[0] or 0) + 1)
+    cut = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    spans = outer.where(F.col(end) >= F.col(start)).select(F.col(key).alias("_key"), F.col(start).alias("_start"), F.col(end).alias("_end"), F.explode(F.sequence(cut(start), cut(end))).alias("_bin"))
+    met = inner.withColumn("_at", cut(at)).join(spans, (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_bin")) & F.col(at).between(F.col("_start"), F.col("_end")), "left_semi")
+    return met.drop("_at")
+
+
+def matching(rows: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """Rows beside each regular expression that their text fits: a theta join, with the patterns broadcast once counted."""
+    if patterns.limit(1001).count() > 1000:
+        raise ValueError("more than 1000 patterns: join on a part that is equal first")
+    return rows.join(F.broadcast(patterns), F.expr(f"{text} rlike {pattern}"))
+
+
+def _few(edges: DataFrame, most: int) -> bool:
+    return edges.limit(most + 1).count() <= most
+
+
+def _in_one_task(edges: DataFrame, work: Callable[[dict[object, list]], list[tuple]], columns: list[str]) -> DataFrame:
+    """What `work` makes of the neighbours of each node, in a single task; for counted edge sets only.
+
+    The columns have the type of a node.
+    """
+    kind = edges.schema["src"].dataType
+    schema = T.StructType([T.StructField(c, kind) for c in columns])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        after: dict[object, list] = {}
+        types = None
+        for b in it:
+            types = b.schema.field("src").type
+            for s, d in zip(b.column("src").to_pylist(), b.column("dst").to_pylist(), strict=True):
+                after.setdefault(s, []).append(d)
+                after.setdefault(d, [])
+        made = work({k: sorted(set(v)) for k, v in sorted(after.items())}) if after else []
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, types) for c in zip(*made, strict=True)], columns)
+
+    return edges.select("src", "dst").repartition(1).mapInArrow(run, schema)
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
     """Nodes reachable from seeds (column node) over edges (src, dst): semi-naive, a frontier join a round.
 
-    Each round's result is written to the shared folder; it ends when the frontier is empty.
+    Only the frontiers are written, each to the shared folder; it ends when one is empty.
     """
     edges = pin(edges.select("src", "dst").distinct())
     known = frontier = pin(seeds.select("node").distinct())
@@ -62,10 +135,41 @@ def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFra
         frontier = pin(edges.join(frontier, edges.src == frontier.node, "left_semi").select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti"))
         if frontier.isEmpty():
             return known
-        known = pin(known.unionByName(frontier))
+        known = known.unionByName(frontier)
     raise RuntimeError(f"not closed after {rounds} rounds")
 
 
+def closure(edges: DataFrame, seeds: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """As `reachable`; a graph of few edges (counted) is walked in one task, whatever its diameter."""
+    if not _few(edges, local_edges):
+        return reachable(edges, seeds)
+    start = seeds.select(F.col("node").alias("src"), F.col("node").alias("dst")).withColumn("seed", F.lit(True))
+    both = edges.select("src", "dst").withColumn("seed", F.lit(False)).unionByName(start)
+    schema = T.StructType([T.StructField("node", seeds.schema["node"].dataType)])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        after: dict[object, list] = {}
+        known: set = set()
+        types = None
+        for b in it:
+            types = b.schema.field("src").type
+            for s, d, seed in zip(*(b.column(c).to_pylist() for c in ("src", "dst", "seed")), strict=True):
+                if seed:
+                    known.add(s)
+                else:
+                    after.setdefault(s, []).append(d)
+        down = list(known)
+        while down:
+            for d in after.pop(down.pop(), ()):
+                if d not in known:
+                    known.add(d)
+                    down.append(d)
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array(list(known), types)], ["node"])
+
+    return pin(both.repartition(1).mapInArrow(run, schema))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (least node connected with it), by alternating large-star and small-star rounds."""
     pairs, before = pin(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()), None
@@ -85,40 +189,154 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def strongly_connected(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """node, scc (least node of it) for components of two nodes or more, by forward and backward labels.
+def _strong(after: dict[object, list]) -> list[tuple]:
+    """(node, least node of its component) for components of two nodes or more: depth first, with low links."""
+    number: dict[object, int] = {}
+    low: dict[object, int] = {}
+    held: list = []
+    on: set = set()
+    out = []
+    for start in after:
+        if start in number:
+            continue
+        work = [(start, iter(after[start]))]
+        number[start] = low[start] = len(number)
+        held.append(start)
+        on.add(start)
+        while work:
+            node, rest = work[-1]
+            for d in rest:
+                if d not in number:
+                    number[d] = low[d] = len(number)
+                    held.append(d)
+                    on.add(d)
+                    work.append((d, iter(after[d])))
+                    break
+                if d in on:
+                    low[node] = min(low[node], number[d])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    group = [held.pop()]
+                    while group[-1] != node:
+                        group.append(held.pop())
+                    on.difference_update(group)
+                    if len(group) > 1:
+                        least = min(group)
+                        out += [(n, least) for n in group]
+    return out
+
 
-    Labels (the least node that reaches each) flow along the edges to a fixpoint; of those with a label,
-    the ones that also reach its node form one component; they are set aside and the rest repeats.
+def strongly_connected(edges: DataFrame, local_edges: int = LOCAL_EDGES, rounds: int = 200) -> DataFrame:
+    """node, scc (least node of it) for components of two nodes or more.
+
+    A graph of few edges (counted) is walked in one task. Beyond that, each round gives every node the
+    first, in an order drawn anew by hash, of the nodes that reach it; a component lies within one label, so
+    edges between labels go, and of each label the nodes that reach its first one are a component. With the
+    order drawn by chance, rounds grow with the logarithm of a chain of components. It raises an error
+    rather than return fewer components.
     """
-    left, out = pin(edges.select("src", "dst").where("src <> dst").distinct()), None
-    for _ in range(rounds):
-        while True:  # only nodes with edges both ways can lie on a cycle
-            trimmed = pin(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            if trimmed.count() == left.count():
+    left = pin(edges.select("src", "dst").where("src <> dst").distinct())
+    if _few(left, local_edges):
+        return pin(_in_one_task(left, _strong, ["node", "scc"]))
+    out = edges.select(F.col("src").alias("node"), F.col("src").alias("scc")).where("false")
+    for nth in range(rounds):
+        count = left.count()
+        while count:  # only nodes with edges both ways can lie on a cycle
+            left = pin(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            now = left.count()
+            if now == count:
                 break
-            left = trimmed
-        if left.isEmpty():
-            break
-        forward = _least_label(left, "src", "dst")
-        within = left.join(forward.withColumnRenamed("node", "src").withColumnRenamed("label", "a"), "src").join(forward.withColumnRenamed("node", "dst").withColumnRenamed("label", "b"), "dst").where("a = b").select("src", "dst", F.col("a").alias("label"))
-        back = within.select(F.struct("label", F.col("dst").alias("n")).alias("src"), F.struct("label", F.col("src").alias("n")).alias("dst"))
-        seeds = forward.select(F.struct("label", F.col("label").alias("n")).alias("node")).distinct()
-        group = reachable(back, seeds).select(F.col("node.n").alias("node"), F.col("node.label").alias("scc"))
-        group = pin(group.join(group.groupBy("scc").agg(F.count("*").alias("n")), "scc").select("node", "scc", "n"))
-        found = group.where("n > 1").select("node", "scc")
-        out = found if out is None else out.unionByName(found)
-        gone = group.select("node")
-        left = pin(left.join(gone, left.src == gone.node, "left_anti").join(gone, left.dst == gone.node, "left_anti"))
-    return out if out is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("scc")).where("false")
-
-
-def _least_label(edges: DataFrame, src: str, dst: str, rounds: int = 1000) -> DataFrame:
-    labels = pin(edges.select(F.explode(F.array(src, dst)).alias("node")).distinct().withColumn("label", F.col("node")))
+            count = now
+        if not count:
+            return out
+        first = _first_that_reaches(left, nth)
+        within = pin(left.join(first.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(first.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").select("src", "dst", F.col("a.node").alias("pivot")))
+        back = within.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        group = reachable(back, within.select(F.col("pivot").alias("node"))).join(first.select("node", F.col("label.node").alias("pivot")), "node")
+        group = pin(group.join(group.groupBy("pivot").agg(F.count("*").alias("n"), F.min("node").alias("scc")), "pivot").select("node", "scc", "n"))
+        out = pin(out.unionByName(group.where("n > 1").select("node", "scc")))
+        left = pin(within.select("src", "dst").join(group.select(F.col("node").alias("src")), "src", "left_anti").join(group.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    raise RuntimeError(f"components left after {rounds} rounds")
+
+
+def _first_that_reaches(edges: DataFrame, salt: int, rounds: int = 1000) -> DataFrame:
+    """node, label: the least (hash, node) of those that reach the node."""
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    labels = pin(nodes.select("node", F.struct(F.xxhash64("node", F.lit(salt)).alias("hash"), "node").alias("label")))
     for _ in range(rounds):
-        sent = edges.join(labels, edges[src] == labels.node).select(F.col(dst).alias("node"), "label")
+        sent = edges.join(labels, edges["src"] == labels["node"]).select(F.col("dst").alias("node"), "label")
         now = pin(labels.unionByName(sent).groupBy("node").agg(F.min("label").alias("label")))
         if now.join(labels, ["node", "label"], "left_anti").isEmpty():
             return now
         labels = now
     raise RuntimeError("labels did not settle")
+
+
+def _elementary(after: dict[object, list], most: int) -> list[list]:
+    """Up to `most` elementary cycles of a strongly connected graph, each from its least node on, by least node.
+
+    A node from which the start was not reached stays closed until one behind it opens again, so no part of
+    the graph is searched in vain twice.
+    """
+    found: list[list] = []
+    for start in sorted(after):
+        inside = {n for n in after if n >= start}
+        path, closed, waiting = [start], {start}, {}
+        work = [(start, [d for d in after[start] if d in inside], [False])]
+        while work:
+            node, rest, hit = work[-1]
+            if rest and len(found) < most:
+                d = rest.pop(0)
+                if d == start:
+                    found.append([*path])
+                    hit[0] = True
+                elif d not in closed:
+                    path.append(d)
+                    closed.add(d)
+                    work.append((d, [x for x in after[d] if x in inside], [False]))
+                continue
+            if hit[0]:
+                opened = [node]
+                while opened:
+                    x = opened.pop()
+                    closed.discard(x)
+                    opened += waiting.pop(x, ())
+            else:
+                for d in after[node]:
+                    if d in inside:
+                        waiting.setdefault(d, set()).add(node)
+            work.pop()
+            path.pop()
+            if work and hit[0]:
+                work[-1][2][0] = True
+        if len(found) >= most:
+            break
+    return found
+
+
+def elementary_cycles(edges: DataFrame, per_component: int = 20, most: int = 200, largest: int = 50) -> DataFrame:
+    """nodes (from the least on) of elementary cycles of two nodes or more, the shortest first.
+
+    Reports take at most `per_component` of a component and `most` in all, the smallest components first;
+    components with more than `largest` nodes are left out, as they have too many cycles to read.
+    """
+    scc = strongly_connected(edges)
+    sizes = scc.groupBy("scc").agg(F.count("*").alias("size"))
+    inside = edges.select("src", "dst").where("src <> dst").distinct().join(scc.select(F.col("node").alias("src"), "scc"), "src").join(scc.select(F.col("node").alias("dst"), F.col("scc").alias("other")), "dst").where("scc = other")
+    inside = inside.join(sizes.where(F.col("size") <= largest), "scc").select("scc", "size", "src", "dst")
+    kind = edges.schema["src"].dataType
+    schema = T.StructType([T.StructField("size", T.LongType()), T.StructField("nodes", T.ArrayType(kind))])
+
+    def run(rows: pa.Table) -> pa.Table:
+        after: dict[object, list] = {}
+        for s, d in zip(rows.column("src").to_pylist(), rows.column("dst").to_pylist(), strict=True):
+            after.setdefault(s, []).append(d)
+        found = _elementary({k: sorted(v) for k, v in after.items()}, per_component)
+        size = rows.column("size")[0].as_py()
+        return pa.table({"size": pa.array([size] * len(found), pa.int64()), "nodes": pa.array(found, pa.list_(rows.schema.field("src").type))})
+
+    made = pin(inside.groupBy("scc").applyInArrow(run, schema))
+    return made.orderBy("size", "nodes").limit(most).orderBy(F.size("nodes"), "nodes").select("nodes")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import guard
+from loomspan.functions.text import basename, dirname, guard, posix
 from loomspan.operators import relational as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,29 +88,67 @@ def containment_range_join(events):
     return R.contained(events.select("event_id", "user_id"), spans, "user_id", "event_id", "start", "end")
 
 
-_EDGES = "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_quantity >= 48 AND l_partkey <= (SELECT max(s_suppkey) FROM supplier)"
+_EDGES = "SELECT p_partkey AS src, (p_partkey * 31 + p_size * 7) % (SELECT count(*) FROM part) AS dst FROM part"
 
 
-def _edges(lineitem, supplier):
-    most = supplier.agg(F.max("s_suppkey").alias("most"))
-    return lineitem.where("l_quantity >= 48").join(F.broadcast(most), F.col("l_partkey") <= F.col("most")).select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+def _edges(part):
+    """One edge from every part to another."""
+    return part.select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 31 + F.col("p_size") * 7) % F.lit(max(part.count(), 1))).cast("long").alias("dst"))
 
 
-@query(f"WITH RECURSIVE e AS ({_EDGES}), r(node) AS (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 2 UNION SELECT dst FROM e JOIN r ON src = node) SELECT node FROM r")
-def reachability(lineitem, supplier):
-    return R.reachable(_edges(lineitem, supplier), supplier.where("s_suppkey <= 2").select(F.col("s_suppkey").alias("node")))
+@query(f"WITH RECURSIVE e AS ({_EDGES}), r(node) AS (SELECT p_partkey FROM part WHERE p_size = 1 UNION SELECT dst FROM e JOIN r ON src = node) SELECT node FROM r")
+def reachability(part):
+    return R.closure(_edges(part), part.where("p_size = 1").select(F.col("p_partkey").alias("node")))
 
 
-@query(f"""WITH RECURSIVE e AS ({_EDGES.replace('48', '50')}), b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r(node, root) AS (SELECT a, a FROM b UNION SELECT b.b, root FROM b JOIN r ON a = node)
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r(node, root) AS (SELECT a, a FROM b UNION SELECT b.b, root FROM b JOIN r ON a = node)
 SELECT node, min(root) AS component FROM r GROUP BY node""")
-def connected_components(lineitem, supplier):
-    return R.components(_edges(lineitem.where("l_quantity >= 50"), supplier))
+def connected_components(part):
+    return R.components(_edges(part))
 
 
-@query(f"""WITH RECURSIVE e AS ({_EDGES.replace('48', '50')}), r(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM r JOIN e ON b = src)
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), r(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM r JOIN e ON b = src)
 SELECT x.a AS node, min(x.b) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(DISTINCT x.b) > 1""")
-def strong_components(lineitem, supplier):
-    return R.strongly_connected(_edges(lineitem.where("l_quantity >= 50"), supplier))
+def strong_components(part):
+    return R.strongly_connected(_edges(part))
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), r(a, b, via) AS (SELECT src, dst, [src] FROM e WHERE src <> dst UNION SELECT a, dst, list_append(via, b) FROM r JOIN e ON b = src WHERE NOT list_contains(via, b) AND b <> dst)
+SELECT array_to_string(via, '>') AS cycle, len(via)::bigint AS n FROM r WHERE a = b AND a = list_min(via)""")
+def cycles(part):
+    """Every part has one edge, so no component has more than one cycle, and the caps of a report are out of reach."""
+    found = R.elementary_cycles(_edges(part), most=1_000_000, largest=1_000_000)
+    return found.select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("cycle"), F.size("nodes").cast("long").alias("n"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY p_name HAVING count(*) = 1)")
+def unique_keys(part):
+    return R.unique_by(part.select("p_partkey", "p_name"), "p_name").select("p_partkey", "p_name")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place FROM orders")
+def sorted_places(orders):
+    return R.ranked(orders.select("o_orderkey", "o_totalprice"), [], [F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_orderkey", "place")
+
+
+@query("""SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, lead(o_orderkey) OVER w AS next_o_orderkey, lead(o_totalprice) OVER w AS next_o_totalprice FROM orders
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) WHERE next_o_orderkey IS NOT NULL""")
+def consecutive_self_join(orders):
+    return R.consecutive(orders, ["o_custkey"], [F.asc("o_orderkey")], ["o_orderkey", "o_totalprice"])
+
+
+_GLOBS = (("english", "/en/[0-9]+"), ("query", "[?]"), ("fragment", "#"), ("secure", "^https:"), ("html", "[.]html$"))
+
+
+@query(f"SELECT page_id, name FROM pages JOIN (VALUES {', '.join(map(str, _GLOBS))}) AS g(name, pattern) ON regexp_matches(url, pattern)")
+def pattern_theta_join(pages):
+    globs = pages.sparkSession.createDataFrame(list(_GLOBS), "name string, pattern string")
+    return R.matching(pages.select("page_id", "url"), "url", globs, "pattern").select("page_id", "name")
+
+
+@query("""SELECT page_id, regexp_replace(url, '/?[^/]*$', '') AS folder, regexp_extract(url, '[^/]*$') AS base, replace(replace(url, '/', chr(92)), chr(92), '/') AS posix FROM pages""")
+def path_functions(pages):
+    return pages.select("page_id", dirname(F.col("url")).alias("folder"), basename(F.col("url")).alias("base"), posix(F.translate("url", "/", "\\")).alias("posix"))
 
 
 @query("""SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
