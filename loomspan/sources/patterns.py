@@ -74,10 +74,21 @@ class Code:
             yield k
             k = self.mate.get(k, k) - 1 if self.at(k) in _CLOSE else k - 1
 
+    def conditional_type(self, i: int) -> bool:
+        """Does the `?` at token i belong to a type that extends another?"""
+        for k in self.back(i, len(self.toks)):
+            if self.at(k) == "extends":
+                return True
+            if self.at(k) in ("=", "=>", ";", ",", "return", "}") or self.breaks(k + 1) and self.at(k) not in ("|", "&"):
+                return False
+        return False
+
     def params(self, i: int) -> int | None:
         """Where the parameter list that ends before token i begins; a type of result may lie between."""
         if self.at(i - 1) == ")":
             return self.mate.get(i - 1)
+        if self.is_name(i - 1) and self.at(i - 2) == ":" and self.at(i - 3) == ")":
+            return self.mate.get(i - 3)
         if self.is_name(i - 1) and (self.at(i - 2) in _BEGINS or self.at(i - 2) == "async"):
             return i - 1
         for k in self.back(i, 40):
@@ -105,7 +116,7 @@ def expressions(code: Code) -> Iterator[dict]:
         if kind != "punct":
             continue
         if text == "?" and code.at(i + 1) in ("true", "false") and code.at(i + 2) == ":" and {code.at(i + 1), code.at(i + 3)} == {"true", "false"} and code.ended(i + 4):
-            if not any(code.at(k) == "extends" for k in code.back(i, 60)):
+            if not code.conditional_type(i):
                 yield _row("simplifiable-expression", "ternary-returns-boolean", code, i, "high")
         elif text == "?":
             test, start = code.dotted_to(i)
