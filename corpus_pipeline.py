@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import decontamination, packing, quality, secrets, simhash
-from loomspan.llm.common import pin, stored
+from loomspan.llm.common import columns, pin, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep. Rows are judged by id and text, so repeated ids do no harm."""
     keyed = docs.select(F.xxhash64("text", "lang", "doc_id").alias("key"), "text", "lang")
-    kept = pin(quality.judged(keyed, id_col="key").where("kept").select(F.col("doc_id").alias("_key")).distinct())
-    return docs.withColumn("_key", F.xxhash64("text", "lang", "doc_id")).join(kept, "_key", "left_semi").select(*docs.columns)
+    kept = pin(quality.judged(keyed, id_col="key").where("kept").select(F.col("doc_id").alias("key")).distinct())
+    rows = docs.select(F.struct(*columns(docs)).alias("row"))  # no column of docs meets ours
+    return rows.join(kept, F.xxhash64("row.text", "row.lang", "row.doc_id") == F.col("key"), "left_semi").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +29,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     found = decontamination.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=docs.columns)
-    return found.where(F.size("found") == 0).select(*docs.columns)
+    return found.where(F.size("found") == 0).select(*columns(docs))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its secrets masked and n_chars to match."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
