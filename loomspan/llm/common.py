@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of a table that is broadcast; anything larger is joined by a shuffle.
@@ -14,11 +15,21 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a private one only where the session names none (tests)."""
+    """The folder all executors share: the one that the session names.
+
+    Where it names none, a private one will do on one machine, and goes at exit; a cluster is refused, as its
+    executors would not share the folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomspan-"))
+        own = None
+        if not named:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            own = tempfile.mkdtemp(prefix="loomspan-")
+            atexit.register(shutil.rmtree, own, True)
+        sc.setCheckpointDir(named or own)
     return named or sc.getCheckpointDir()
 
 
@@ -66,3 +77,8 @@ def batches(spark: SparkSession, rows: int = 1000) -> None:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named input columns under our own names, so other columns cannot clash."""
     return df.select(*(df[old].alias(new) for new, old in columns.items()))
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of `df`, whatever their names."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in df.columns]

@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import only, pin, small
+from loomspan.llm.common import BROADCAST_ROWS, columns, only, pin, small
 
 WINDOW = 10
 #: Words of each window whose postings are intersected before phrases are compared.
@@ -36,7 +36,7 @@ def words_of(text: Column) -> Column:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
     """k1, k2: a row's key from its id and text, so that ids may be null or repeated."""
-    row = [F.struct(*carry).alias("row")] if carry else []
+    row = [F.struct(*columns(docs.select(*(f"`{c}`" for c in carry)))).alias("row")] if carry else []
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
     return docs.select("*", F.xxhash64("text", "doc_id").alias("k1"), F.hash("text").alias("k2"))
 
@@ -51,7 +51,10 @@ def anchors(docs: DataFrame, items: DataFrame, lists: int = LISTS, text_col: str
     """Items with `needs`: for each window that can occur, the offsets in the item of its rarest words."""
     vocabulary = pin(items.select(F.explode("words").alias("word")).distinct())
     tokens = docs.select(F.explode(words_of(F.col(text_col))).alias("word"))
-    counts = tokens.join(small(vocabulary), "word").groupBy("word").agg(F.count("*").alias("df"))
+    if vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        counts = tokens.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("df"))
+    else:  # each task adds up its own words first, so that no word's rows meet in one
+        counts = tokens.groupBy("word").agg(F.count("*").alias("df")).join(vocabulary, "word")
     placed = items.withColumn("item_key", F.xxhash64("item", F.array_join("words", " "))).select("*", F.posexplode("words").alias("off", "word"))
     counted = placed.join(pin(counts), "word", "left").groupBy("item", "item_key", "words", "span").agg(F.sort_array(F.collect_list(F.struct("off", F.coalesce("df", F.lit(0)).alias("df")))).alias("dfs"))
     needs = F.expr(f"""

@@ -51,7 +51,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, sample: i
     """doc_id, size, text_crc32, shard, slot for every row of `docs`.
 
     Null texts count as empty (size 1); repeated rows are rows like others; equal keys are ordered
-    by where they were read; an empty table gives an empty result. Slots are gapless in each shard.
+    by where they were read; an empty table gives an empty result. Slots are gapless in each shard. Where rows
+    were read draws the sample too, so another layout of the same table may cut it elsewhere, under the same law.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = only(docs, doc_id=id_col, text=text_col)

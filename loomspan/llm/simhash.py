@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm.common import batches, only, pin, small, stored
+from loomspan.llm.common import batches, columns, only, pin, small, stored
 
 PARTS, DISTANCE, SHINGLE = 3, 4, 4
 SEED = 42
@@ -116,23 +116,55 @@ def _mixed(fps: np.ndarray) -> np.ndarray:
     return (u >> np.uint64(33)).astype(np.int64)
 
 
-def _forest(node: np.ndarray, lanes: np.ndarray, side: np.ndarray, lane: int, lane_limit: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (a, b) of the links between the rows of sides 0 and 2 and those of sides 1 and 2, of one lane."""
+#: Visitors up to which each home is compared with all of an anchor's, and pairs that are looked at at a time.
+FEW, PAIRS_AT_ONCE = 400, 1 << 19
+
+
+def _meeting(h: np.ndarray, v: np.ndarray, part: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of homes and visitors of an anchor that differ in at most one bit of its part, some at a time.
+
+    With many visitors each home looks its value and those one bit away up in the sorted ones, so the work grows
+    with the pairs that are found rather than with the square of the rows.
+    """
+    if len(v) <= FEW:
+        step = max(1, PAIRS_AT_ONCE // max(len(v), 1))
+        mask = np.uint64((1 << 21) - 1 << 21 * part)
+        for i in range(0, len(h), step):
+            x, y = np.nonzero(np.bitwise_count((h[i : i + step, None] ^ v[None, :]) & mask) <= 1)
+            yield i + x, y
+        return
+    mine, others = ((f >> np.uint64(21 * part) & np.uint64((1 << 21) - 1)).astype(np.int64) for f in (h, v))
+    order = np.argsort(others, kind="stable")
+    others = others[order]
+    for flip in (0, *(1 << b for b in range(21))):
+        first = np.searchsorted(others, mine ^ flip, "left")
+        many = np.searchsorted(others, mine ^ flip, "right") - first
+        at = np.flatnonzero(many)
+        total = np.cumsum(many[at])
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS_AT_ONCE, "right")))
+            x = np.repeat(at[i:j], many[at[i:j]])
+            nth = np.arange(len(x)) - np.repeat(np.cumsum(many[at[i:j]]) - many[at[i:j]], many[at[i:j]])
+            yield x, order[first[x] + nth]
+            i = j
+
+
+def _forest(node: np.ndarray, lanes: np.ndarray, side: np.ndarray, anchor: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (a, b) of the links between an anchor's homes (side 0) and visitors (side 1)."""
     names, local = np.unique(node, return_inverse=True)
     root = np.arange(len(names))
-    at_h, at_v = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    h, v = lanes[at_h, lane], lanes[at_v, lane]
-    for i in range(0, len(h), 256):
-        for j in range(0, len(v), 4096):
-            x, y = np.nonzero(np.bitwise_count(h[i : i + 256, None] ^ v[None, j : j + 4096]) <= lane_limit)
-            x, y = at_h[i + x], at_v[j + y]
-            x, y = local[x], local[y]
-            while len(apart := np.flatnonzero(root[x] != root[y])):
-                x, y = x[apart], y[apart]
-                low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
-                np.minimum.at(root, high, low)
-                while (root != root[root]).any():
-                    root = root[root]
+    at_h, at_v = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    h, v = lanes[at_h, anchor // N_ANCHORS], lanes[at_v, anchor // N_ANCHORS]
+    for x, y in _meeting(h, v, anchor % N_ANCHORS >> 12):
+        near = np.bitwise_count(h[x] ^ v[y]) <= distance
+        x, y = local[at_h[x[near]]], local[at_v[y[near]]]
+        while len(apart := np.flatnonzero(root[x] != root[y])):
+            x, y = x[apart], y[apart]
+            low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+            np.minimum.at(root, high, low)
+            while (root != root[root]).any():
+                root = root[root]
     moved = np.flatnonzero(root != np.arange(len(names)))
     return names[moved], names[root[moved]]
 
@@ -157,77 +189,42 @@ def _joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate(used)
 
 
-def _near_forest(node: np.ndarray, lanes: np.ndarray, side: np.ndarray, lane: int, lane_limit: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) near in the anchor's own lane and in all: for each of `LEVELS` a spanning forest.
+def _near_forest(node: np.ndarray, lanes: np.ndarray, side: np.ndarray, anchor: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) that meet at the anchor and are near in all lanes: for each of `LEVELS` a spanning forest.
 
     Every pair returned is itself near, so it can be checked; those within a level connect all that pairs
     within it do. Nearer pairs come first, so a check that fails seldom parts what others would hold together.
     """
     names, local = np.unique(node, return_inverse=True)
     root = np.tile(np.arange(len(names)), (len(LEVELS), 1))
-    at_h, at_v = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    h, v = lanes[at_h, lane], lanes[at_v, lane]
+    at_h, at_v = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    h, v = lanes[at_h, anchor // N_ANCHORS], lanes[at_v, anchor // N_ANCHORS]
     out = [np.zeros((2, 0), np.int64)]
-    for i in range(0, len(h), 256):
-        for j in range(0, len(v), 4096):
-            x, y = np.nonzero(np.bitwise_count(h[i : i + 256, None] ^ v[None, j : j + 4096]) <= lane_limit)
-            x, y = at_h[i + x], at_v[j + y]
-            bits = np.bitwise_count(lanes[x] ^ lanes[y]).sum(axis=1)
-            level, x, y = np.searchsorted(LEVELS, bits), local[x], local[y]
-            new = (bits <= distance) & (root[level, x] != root[level, y])
-            level, x, y = level[new], x[new], y[new]
-            held = np.zeros((2, 0), np.int64)
-            for k in range(len(LEVELS) if len(x) else 0):
-                fresh = np.stack([x[level == k], y[level == k]])
-                edges = np.concatenate([fresh, held], axis=1)
-                used = _joined(root[k], *edges)
-                out.append(edges[:, used[used < fresh.shape[1]]])
-                held = edges[:, used]
+    for x, y in _meeting(h, v, anchor % N_ANCHORS >> 12):
+        x, y = at_h[x], at_v[y]
+        bits = sum(np.bitwise_count(lanes[x, k] ^ lanes[y, k]).astype(np.int64) for k in range(lanes.shape[1]))
+        level, x, y = np.searchsorted(LEVELS, bits), local[x], local[y]
+        new = (bits <= distance) & (root[level, x] != root[level, y])
+        level, x, y = level[new], x[new], y[new]
+        held = np.zeros((2, 0), np.int64)
+        for k in range(len(LEVELS) if len(x) else 0):
+            fresh = np.stack([x[level == k], y[level == k]])
+            edges = np.concatenate([fresh, held], axis=1)
+            used = _joined(root[k], *edges)
+            out.append(edges[:, used[used < fresh.shape[1]]])
+            held = edges[:, used]
     a, b = names[np.concatenate(out, axis=1)]
     return np.maximum(a, b), np.minimum(a, b)
 
 
-#: Nearest rows of other roots that a row names at each of its home anchors.
-NEAREST = 8
-
-
-def _across(node: np.ndarray, lanes: np.ndarray, side: np.ndarray, anchor: int, lane_limit: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Near pairs (a, b) of different roots (the last column): for each row at home here, the `NEAREST` of those it meets."""
-    root, fps, lane = lanes[:, -1], np.ascontiguousarray(lanes[:, :-1]), anchor // N_ANCHORS
-    home = (anchors(np.ascontiguousarray(fps[:, lane]).view(np.int64))[0] == anchor % N_ANCHORS).any(axis=1)
-    at_h, at_v = np.flatnonzero((side != 1) & home), np.flatnonzero(side != 0)
-    if not len(at_h) or (root == root[0]).all():
-        return node[:0], node[:0]
-    h, v = fps[at_h, lane], fps[at_v, lane]
-    out = [np.zeros((2, 0), np.int64)]
-    for i in range(0, len(h), 256):
-        found = []
-        for j in range(0, len(v), 4096):
-            x, y = np.nonzero((root[at_h[i : i + 256], None] != root[None, at_v[j : j + 4096]]) & (np.bitwise_count(h[i : i + 256, None] ^ v[None, j : j + 4096]) <= lane_limit))
-            x, y = at_h[i + x], at_v[j + y]
-            bits = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1)
-            found.append(np.stack([x, y, bits])[:, bits <= distance])
-        x, y, bits = np.concatenate(found, axis=1).astype(np.int64)
-        order = np.lexsort((node[y], bits, x))
-        x, y = x[order], y[order]
-        first = np.arange(len(x)) - np.searchsorted(x, x) < NEAREST
-        out.append(node[np.stack([x[first], y[first]])])
-    a, b = np.concatenate(out, axis=1)
-    a, b = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-    return a, b
-
-
-def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, lane_limit: int | None = None, mutual: bool = False, block: int = BLOCK) -> DataFrame:
+def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, block: int = BLOCK) -> DataFrame:
     """Links a > b between distinct fingerprints (node, f0, f1...): enough to connect all that are linked.
 
-    One-sided: homes meet visitors, so all pairs with at most one differing bit in some part meet.
-    Mutual: visitors meet visitors, so all with at most two in some part do; with several lanes that
-    finds far pairs with high probability rather than for certain, and the links are near pairs themselves.
-    With a column root, each node's nearest ones of other roots are returned instead (mutual only).
+    Homes meet visitors, so all pairs with at most one differing bit in some part meet. With one lane these are
+    all pairs within four bits. With several lanes the distance counts in all of them, far pairs are found with
+    high probability rather than for certain, and the links are near pairs themselves.
     """
-    rooted = "root" in nodes.columns
-    names, every = [*(f"f{i}" for i in range(lanes)), *["root"] * rooted], lanes * N_ANCHORS
-    limit = distance if lane_limit is None else lane_limit
+    names, every = [f"f{i}" for i in range(lanes)], lanes * N_ANCHORS
 
     def values(b: pa.RecordBatch) -> np.ndarray:
         return np.stack([b.column(n).to_numpy() for n in names], axis=1)
@@ -247,8 +244,6 @@ def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, lane_limit
     split_h, split_v = np.ones(every, np.int64), np.ones(every, np.int64)
     for r in counts.where((F.col("homes") > block) | (F.col("visits") > block)).collect():  # at most `every` rows
         split_h[r.anchor], split_v[r.anchor] = -(-r.homes // block), -(-r.visits // block)
-    if mutual:
-        split_h = split_v
 
     def dealt(row: np.ndarray, at: np.ndarray, salt: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows with a key for each block of the other side: anchor, home block, visitor block."""
@@ -267,12 +262,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, lane_limit
                 for i in range(lanes):
                     homes, row, at = anchors(np.ascontiguousarray(f[:, i]))
                     homes, at = homes + i * N_ANCHORS, at + i * N_ANCHORS
-                    if mutual:
-                        one = split_v[at] == 1
-                        parts = [(row[one], at[one] << 40, np.full(one.sum(), 2, np.int8)), *(dealt(row[~one], at[~one], salt[row[~one]], s) for s in (0, 1))]
-                    else:
-                        own = np.repeat(np.arange(len(node)), PARTS)
-                        parts = [dealt(own, homes.ravel(), salt[own], 0), dealt(row, at, salt[row], 1)]
+                    own = np.repeat(np.arange(len(node)), PARTS)
+                    parts = [dealt(own, homes.ravel(), salt[own], 0), dealt(row, at, salt[row], 1)]
                     row, key, side = (np.concatenate(x) for x in zip(*parts, strict=True))
                     cols = [key, node[row], side, *(f[row, k] for k in range(len(names)))]
                     yield from (pa.RecordBatch.from_arrays([pa.array(c[j : j + 50_000]) for c in cols], ["key", "node", "side", *names]) for j in range(0, len(key), 50_000))
@@ -286,8 +277,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, lane_limit
             a, b = [], []
             for s, e in zip([0, *cuts], [*cuts, len(key)], strict=True):
                 if e - s > 1:
-                    anchor = int(key[s] >> 40)
-                    x, y = _across(node[s:e], f[s:e], side[s:e], anchor, limit, distance) if rooted else (_near_forest if mutual else _forest)(node[s:e], f[s:e], side[s:e], anchor // N_ANCHORS, limit, distance)
+                    x, y = (_near_forest if lanes > 1 else _forest)(node[s:e], f[s:e], side[s:e], int(key[s] >> 40), distance)
                     a.append(x)
                     b.append(y)
             if a:
@@ -335,7 +325,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def clusters(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, lanes: int = 1, lane_limit: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clusters(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, f0..., root (of the component's nodes), component_id (least doc_id) for every row.
 
     Null and empty texts have fingerprint 0. Repeated rows share a component; a null doc_id is kept
@@ -345,15 +335,15 @@ def clusters(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
     node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
     rows = pin(fingerprints(docs, shingle, lanes, id_col, text_col).withColumn("node", node))
     nodes = pin(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(n).alias(n) for n in names)))
-    tree = components(links(nodes, distance, lanes, lane_limit, mutual=lanes > 1)).withColumnRenamed("node", "child")
+    tree = components(links(nodes, distance, lanes)).withColumnRenamed("node", "child")
     roots = nodes.join(tree, nodes.node == F.col("child"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
     return rows.join(named, "node").select("doc_id", "text_key", *names, "root", "component_id")
 
 
 #: The near-duplicate filter: words of a shingle, least part of the shingles shared (Jaccard), and for the
-#: candidates: lanes, differing bits in all and in the anchor's own lane.
-NEAR_SHINGLE, NEAR_SHARED, NEAR_LANES, NEAR_DISTANCE, NEAR_LANE = 5, 0.8, 3, 46, 20
+#: candidates: lanes, and differing bits in all.
+NEAR_SHINGLE, NEAR_SHARED, NEAR_LANES, NEAR_DISTANCE = 5, 0.8, 3, 46
 #: Pairs of whole texts that a Python worker takes at a time.
 PAIR_ROWS = 64
 
@@ -556,7 +546,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [f"f{i}" for i in range(NEAR_LANES)]
     rows = pin(fingerprints(docs, NEAR_SHINGLE, NEAR_LANES, id_col, text_col, distinct=True))
     nodes = pin(rows.groupBy(F.col("text_key").alias("node")).agg(*(F.first(n).alias(n) for n in names)))
-    pairs = pin(links(nodes, NEAR_DISTANCE, NEAR_LANES, NEAR_LANE, mutual=True))
+    pairs = pin(links(nodes, NEAR_DISTANCE, NEAR_LANES))
     tree = components(verified(pairs, docs, text_col=text_col))
     rooted = pin(nodes.join(tree.withColumnRenamed("node", "child"), nodes.node == F.col("child"), "left").select("node", F.coalesce("root", "node").alias("root")))
     more = pin(sharing(docs, rooted, text_col=text_col).join(pairs, ["a", "b"], "left_anti"))
@@ -565,10 +555,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tree = components(tree.toDF("a", "b").union(more))
     tree = tree.withColumnRenamed("node", "child")
     c = rows.select("doc_id", "text_key").join(tree, rows.text_key == F.col("child"), "left").withColumn("root", F.coalesce("root", "text_key"))
-    first = pin(c.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")).select(F.col("first.doc_id").alias("_first_id"), F.col("first.text_key").alias("_first_key")))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
-    kept = keyed.join(first, keyed[id_col].eqNullSafe(first["_first_id"]) & (keyed["_key"] == first["_first_key"]))
-    return kept.dropDuplicates(["_first_id", "_first_key"]).select(*docs.columns)
+    first = pin(c.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")).select("first.doc_id", "first.text_key"))
+    keyed = docs.select(F.struct(*columns(docs)).alias("row"))  # no column of docs meets ours
+    met = keyed.join(first, F.col(f"row.`{id_col}`").eqNullSafe(F.col("doc_id")) & (F.xxhash64(f"row.`{text_col}`") == F.col("text_key")))
+    return met.dropDuplicates(["doc_id", "text_key"]).select("row.*")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

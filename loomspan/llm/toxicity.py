@@ -87,30 +87,38 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
-    """Fit on at most `rows` labelled documents that are not held out. No labels: no weights, score 0.5."""
+    """Fit on at most `rows` labelled documents that are not held out. No labels: no weights, score 0.5.
+
+    A document with several labels has the largest; of several texts of one id the first in order counts, null as
+    empty, so repeated rows and the order in which rows are read make no difference. Null ids and labels are left
+    out. The features of the rows, four bytes each and once in a row, go to one task.
+    """
     batches(docs.sparkSession)
     known = only(labels, doc_id=id_col, label=label_col).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = only(docs, doc_id=id_col, text=text_col).join(small(chosen, rows), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
+    texts = only(docs, doc_id=id_col, text=text_col).join(small(chosen, rows), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", "label")
 
     def featurise(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            x = [features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.list_(pa.int64())), b.column("label").cast(pa.int32())], ["doc_id", "x", "y"])
+            x = [features(t).astype(np.int32) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.list_(pa.int32())), b.column("label").cast(pa.int32())], ["doc_id", "x", "y"])
 
     def train(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = [(x.values.to_numpy().astype(np.int32), y) for b in it for x, y in zip(b.column("x"), b.column("y").to_pylist(), strict=True)]
+        data = [(x.values.to_numpy(), y) for b in it for x, y in zip(b.column("x"), b.column("y").to_pylist(), strict=True)]
         at, w = _fit(data) if data else (np.empty(0, np.int64), np.empty(0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["i", "w"])
 
-    schema = T.StructType([texts.schema["doc_id"], T.StructField("x", T.ArrayType(T.LongType())), T.StructField("y", T.IntegerType())])
+    schema = T.StructType([texts.schema["doc_id"], T.StructField("x", T.ArrayType(T.IntegerType())), T.StructField("y", T.IntegerType())])
     ordered = texts.mapInArrow(featurise, schema).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     got = ordered.mapInArrow(train, "i long, w double").toArrow()
     return got.column("i").to_numpy(), got.column("w").to_numpy()
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, predicted for every row; a null or empty text has the score of the bias alone."""
+    """doc_id, score, predicted for every row; a null or empty text has the score of the bias alone.
+
+    Repeated rows come out as often, with equal scores; an empty table gives an empty result.
+    """
     batches(docs.sparkSession)
     docs = only(docs, doc_id=id_col, text=text_col)
     at, value = weights

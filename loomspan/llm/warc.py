@@ -95,7 +95,7 @@ def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def write(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Whole-file gzip archives of the rows of `decided`: archive, chunk, data."""
+    """Whole-file gzip archives of the rows of `decided`: archive, chunk, data. No rows: no archives."""
     batches(rows.sparkSession, 500)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def write(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
 def normalise(archives: DataFrame) -> DataFrame:
     """archive, record, record_id, offset, length, data: each record as a gzip member of its own.
 
-    An archive's chunks come together, in order, in one task; archives are bounded in size.
+    An archive's chunks come together, in order, in one task; archives are bounded in size. No archives: no members.
     """
     spark = archives.sparkSession
     batches(spark, 500)
@@ -176,7 +176,7 @@ def read(members: DataFrame) -> DataFrame:
     """Records from their members: page_id (text), url, payload_bytes, payload_digest, record_type, refers_to (text), payload.
 
     A response's payload is measured and hashed anew and must agree with its headers; a revisit has no
-    payload of its own, so its headers tell the size and digest of the one it refers to.
+    payload of its own, so its headers tell the size and digest of the one it refers to. No members: no records.
     """
     from urllib.parse import unquote
 
@@ -221,7 +221,7 @@ def export(members: DataFrame, folder: str) -> None:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null html counts as empty. Of repeated page ids with one payload, none revisits another."""
+    """Null html counts as empty. Of repeated page ids with one payload, none revisits another. No pages: no rows."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     archives = stored(write(decided(pages)), compression="none")
     got = read(stored(normalise(archives), compression="none"))

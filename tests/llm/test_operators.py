@@ -106,7 +106,9 @@ def test_best_fit_equals_one_at_a_time(seed):
     assert made == len(bins) and sorted(100 - u for u in used.values()) == sorted(bins)
 
 
-def test_decontamination(spark, docs, none):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_decontamination(spark, docs, none, most, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", most)  # either way of counting words
     items = [("a", " ".join(PLAIN[0].split()[5:25])), ("b", "One"), ("c", None), (None, PLAIN[1]), ("d", "never seen words at all here"), ("a", "CAFé it s")]
     bench = spark.createDataFrame(items, "item_id string, text string")
     got = {(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.report(docs, bench).collect()}
@@ -133,6 +135,24 @@ def test_proximity(spark):
     assert sorted(r.gap for r in decontamination.proximity(index, "a", "b", 3).collect()) == [1, 3]
 
 
+def test_sharding_law(spark):
+    """Shards are cut from one line of bytes, each place within half a row's size of an even cut; equal texts go together."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.choice([1, 5, 40, 400]))) for _ in range(600)]
+    texts += [texts[5]] * 9
+    for shards in (1, 3, 16):
+        rows = sharding.shard(table(spark, texts), shards=shards).collect()
+        sizes = Counter()
+        for r in rows:
+            sizes[r.shard] += r.size
+        largest = max(len(t.encode()) + 1 for t in texts) * 10
+        assert sum(sizes.values()) == sum(len(t.encode()) + 1 for t in texts) and max(sizes.values()) - min(sizes.values()) <= 2 * largest and len(sizes) == shards
+        by_text = {}
+        for r in rows:
+            by_text.setdefault(texts[r.doc_id], set()).add(r.shard)
+        assert all(len(v) == 1 for v in by_text.values())
+
+
 def test_sharding(docs, none):
     rows = sharding.shard(docs, shards=4).collect()
     assert len(rows) == docs.count()
@@ -163,6 +183,51 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, toxicity.fit(many, labels.limit(0))).count() == 0
 
 
+def test_toxicity_fit_equals_plain_ftrl(spark):
+    """Weights of follow-the-regularised-leader, one feature at a time, over features found one by one."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(WORDS[:40]) for _ in range(rng.randrange(0, 12))) for _ in range(80)]
+
+    def brute_features(t):
+        w, out = re.findall(r"[^\W_]+", t.lower()), set()
+        mask, crc = (1 << 64) - 1, lambda x: zlib.crc32(x.encode())
+        mix, pair, skip, stem = (int(x) for x in (toxicity._MIX, toxicity._PAIR, toxicity._SKIP, toxicity._STEM))
+        keys = [crc(x) * mix for x in w] + [crc(x[: toxicity.STEM]) * stem for x in w]
+        keys += [crc(a) * pair + crc(b) * mix for a, b in zip(w, w[1:], strict=False)] + [crc(a) * skip + crc(b) * mix for a, b in zip(w, w[2:], strict=False)]
+        for k in keys:
+            k &= mask
+            out.add(((k ^ k >> 29) * mix & mask) >> 64 - toxicity.BITS)
+        return sorted(out)
+
+    rows = [(brute_features(t), int("w7" in t.split())) for t in texts]
+    assert all(list(toxicity.features(t)) == x for t, (x, _) in zip(texts, rows, strict=True))
+    z, n, bias = {}, {}, 1 << toxicity.BITS
+
+    def weight(i):
+        l1 = 0.0 if i == bias else toxicity.L1
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - (1 if zi > 0 else -1) * l1) / ((toxicity.BETA + n.get(i, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for x, y in rows:
+            ws = {i: weight(i) for i in [*x, bias]}
+            g = 1 / (1 + np.exp(-np.clip(sum(ws.values()), -35, 35))) - y
+            for i, w in ws.items():
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / toxicity.ALPHA * w
+                n[i] = old + g * g
+    at, values = toxicity._fit([(np.array(x, np.int32), y) for x, y in rows])
+    want = {i: weight(i) for i in z if weight(i)}
+    assert set(at) == set(want) and all(abs(want[i] - v) < 1e-9 for i, v in zip(at, values, strict=True))
+
+
+def test_toxicity_is_the_same_for_any_layout(spark):
+    rows = [(i % 60, f"{PLAIN[i % 50]} {'vile' if i % 3 == 0 else ''} v{i}") for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    one, two = (toxicity.fit(table(spark, [t for _, t in r], [i for i, _ in r]).repartition(k), labels) for r, k in ((rows, 2), (rows[::-1], 5)))
+    assert list(one[0]) == list(two[0]) and np.allclose(one[1], two[1])
+
+
 def test_secrets(spark, docs, none):
     key = "AKIA" + "ABCDEFGHIJ234567"
     text = f'é password="abcdefghijkl" {key} 0123456789abcdef0 TOKEN: short1 akia api_key=x'
@@ -353,6 +418,12 @@ def test_simhash_links_all_within_four_bits(spark):
         assert sorted(map(sorted, got.values())) == sorted(sorted(map(signed, g)) for g in want.values() if len(g) > 1)
 
 
+def test_dedup_keeps_columns_of_any_name(spark):
+    columns = "doc_id long, text string, _key long, _first_id int, root string, row int, text_key string, first int, `a.b` int"
+    docs = spark.createDataFrame([(2, "a b c d e f", 1, 2, "r", 3, "k", 4, 5), (1, "a b c d e f", 6, 7, "s", 8, "l", 9, 10)], columns)
+    assert [tuple(r) for r in simhash.deduplicated(docs).collect()] == [(1, "a b c d e f", 6, 7, "s", 8, "l", 9, 10)]
+
+
 def test_dedup_keeps_one(spark):
     base = " ".join(RNG.choice(WORDS) for _ in range(300)).split()
     near = [*base]
@@ -475,6 +546,8 @@ def test_warc(spark, tmp_path):
     got = {r.page_id: r for r in warc.read(members).collect()}
     assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {"1": ("revisit", "7"), "3": ("revisit", "7"), None: ("revisit", "7"), "7": ("response", None), "4": ("response", None), "5": ("response", None), "6": ("response", None)}
     assert all(got[str(i)].payload_bytes == len((h or "").encode()) and got[str(i)].payload_digest == hashlib.sha1((h or "").encode()).hexdigest() for i, _, h in rows if i)
+    long = warc.decided(pages(spark, [(1, "http://a/", "x" * 5_000_000), (2, "http://b/", "x" * 5_000_000)]))
+    assert {r.page_id: (r.payload_bytes, r.refers_to) for r in warc.read(warc.normalise(warc.write(long))).collect()} == {"1": (5_000_000, "2"), "2": (5_000_000, None)}
     assert got["1"].url == rows[0][1] and bytes(got["7"].payload) == big.encode()
     warc.export(members, str(tmp_path))
     for r in warc.index(members).collect():
@@ -514,16 +587,18 @@ def test_url_filters_propagate(spark):
     assert {r[0]: r[1:] for r in c.sql(f"SELECT page_id, host, path, rule, verdict FROM ({url_filters.OP10_SQL})").fetchall()} == got
 
 
-def test_second_round_names_nearest_of_other_groups(spark):
-    rng = np.random.default_rng(5)
-    base = rng.integers(-(2**62), 2**62, 3)
-    near = [base ^ np.array([1 << int(b), 0, 0]) for b in rng.integers(0, 60, 12)]
-    rows = [(i, *map(int, f), 0 if i < 6 else i) for i, f in enumerate(near)] + [(99, *map(int, ~base), 99)]
-    nodes = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, root long")
-    got = {(r.a, r.b) for r in simhash.links(nodes, 46, 3, 20, mutual=True).collect()}
-    assert got and all(a > b and not (a < 6 and b < 6) and 99 not in (a, b) for a, b in got)
-    assert {n for p in got for n in p} == set(range(12))
-    assert simhash.links(nodes.limit(0), 46, 3, 20, mutual=True).count() == 0
+def test_meeting_finds_what_brute_force_does(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    f = np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 63, 20).astype(np.uint64)) for _ in range(6))])
+    for few in (simhash.FEW, 0):
+        monkeypatch.setattr(simhash, "FEW", few)
+        monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 50)
+        for part in range(simhash.PARTS):
+            mask = np.uint64((1 << 21) - 1 << 21 * part)
+            want = {(i, j) for i in range(len(f)) for j in range(len(f)) if int((f[i] ^ f[j]) & mask).bit_count() <= 1}
+            got = [(int(x), int(y)) for a, b in simhash._meeting(f, f, part) for x, y in zip(a, b, strict=True)]
+            assert set(got) == want and len(got) == len(want)
 
 
 def test_dedup_finds_pairs_in_a_family_of_loosely_alike_texts(spark):

@@ -54,6 +54,18 @@ def test_stages(spark, sf_dir):
     assert max(used.values()) <= packing.CAPACITY
 
 
+def test_odd_tables(spark, sf_dir, tmp_path):
+    """An empty table goes through; columns of any name and type stay as they are."""
+    d = str(tmp_path)
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", "doc_id AS key", "'x' AS _key", "1 AS row", "struct(1 AS a) AS `b.c`", "'k' AS text_key")
+    docs.limit(0).write.parquet(f"{d}/documents.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, d).cache()
+        assert docs.where("key = doc_id and _key = 'x' and row = 1 and `b.c`.a = 1 and text_key = 'k'").count() == docs.count() > 70, name
+
+
 def test_registered():
     names = entry.queries()
     assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
