@@ -150,7 +150,8 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE, text_col
             texts = [t if not (t and (found := spans_of(t, scope))) else redacted(t, found, mask) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever the columns' names
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
