@@ -97,6 +97,15 @@ def matching(rows: DataFrame, text: str, patterns: DataFrame, pattern: str) -> D
     return rows.join(F.broadcast(patterns), F.expr(f"{text} rlike {pattern}"))
 
 
+def first_candidate(asked: DataFrame, candidates: str, keyed: DataFrame, by: list[str]) -> DataFrame:
+    """`asked` with the path of the first of its ranked candidates (an array of keys) that exists, or null.
+
+    keyed: key, rank, path. Candidates meet them by equality; the earliest one wins, of one key the least rank.
+    """
+    met = asked.select(*by, F.posexplode(candidates).alias("nth", "key")).join(keyed, "key")
+    return asked.join(met.groupBy(*by).agg(F.min_by("path", F.struct("nth", "rank", "path")).alias("to")), by, "left").drop(candidates)
+
+
 def _few(edges: DataFrame, most: int) -> bool:
     return edges.limit(most + 1).count() <= most
 
@@ -170,8 +179,29 @@ def closure(edges: DataFrame, seeds: DataFrame, local_edges: int = LOCAL_EDGES)
     return pin(both.repartition(1).mapInArrow(run, schema))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component (least node connected with it), by alternating large-star and small-star rounds."""
+def _connected(after: dict[object, list]) -> list[tuple]:
+    root = {n: n for n in after}
+
+    def find(n: object) -> object:
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    for a, those in after.items():
+        for b in those:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    return [(n, find(n)) for n in after]
+
+
+def components(edges: DataFrame, rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """node, component (least node connected with it), by alternating large-star and small-star rounds.
+
+    A graph of few edges (counted) is joined up in one task.
+    """
+    if _few(edges, local_edges):
+        return _in_one_task(edges.select("src", "dst"), _connected, ["node", "component"])
     pairs, before = pin(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()), None
     nodes = pin(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     pairs = pairs.where("u <> v")

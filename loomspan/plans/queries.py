@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.text import basename, dirname, guard, posix
 from loomspan.operators import relational as R
+from loomspan.operators.durable import small
+from loomspan.plans import analyze as A
+from loomspan.plans.dependencies import token
+from loomspan.plans.entries import Entries
+from loomspan.sources.globs import any_of
+from loomspan.sources.projects import Project
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,8 +41,8 @@ def money(c: str) -> Column:
 @query("""SELECT r_name, n_name, count(*) AS orders, sum(o_totalprice::decimal(18,2))::double AS total
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
 def join_aggregate(orders, customer, nation, region):
-    small = F.broadcast(nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name"))  # 25 rows at any scale
-    who = customer.join(small, customer.c_nationkey == small.n_nationkey).select("c_custkey", "n_name", "r_name")
+    named = F.broadcast(nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name"))  # 25 rows at any scale
+    who = customer.join(named, customer.c_nationkey == named.n_nationkey).select("c_custkey", "n_name", "r_name")
     return orders.join(who, orders.o_custkey == who.c_custkey).groupBy("r_name", "n_name").agg(F.count("*").alias("orders"), money("o_totalprice").alias("total"))
 
 
@@ -68,7 +74,7 @@ def top_per_group(orders):
     return R.top_per_group(orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
 
 
-@query("""SELECT o_orderstatus, o_orderkey, place::int AS place FROM (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS place,
+@query("""SELECT o_orderstatus, o_orderkey, place FROM (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS place,
 count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders) WHERE place % greatest(1, ceil(n / 200)) = 0""")
 def stride_sample(orders):
     return R.stride_sample(orders.select("o_orderstatus", "o_orderkey"), ["o_orderstatus"], [F.asc("o_orderkey")], 200)
@@ -121,9 +127,9 @@ def cycles(part):
     return found.select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("cycle"), F.size("nodes").cast("long").alias("n"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY p_name HAVING count(*) = 1)")
-def unique_keys(part):
-    return R.unique_by(part.select("p_partkey", "p_name"), "p_name").select("p_partkey", "p_name")
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey HAVING count(*) = 1")
+def unique_keys(orders):
+    return R.unique_by(orders.select("o_custkey", "o_orderkey"), "o_custkey").select("o_custkey", "o_orderkey")
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place FROM orders")
@@ -206,3 +212,115 @@ def ordered_set_keys(lineitem):
 @query("SELECT n_name, name_parts FROM (SELECT n_name, unnest(string_split(n_name, ' ')) AS name_parts FROM nation)")
 def split_explode(nation):
     return nation.select("n_name", F.explode(F.split("n_name", " ")).alias("name_parts"))
+
+
+# Operators of the analysis on plain tables.
+
+@query("""WITH keyed AS (SELECT p_name AS key, p_size AS rank, p_partkey AS path FROM part), c AS (SELECT s_suppkey, unnest([c1, c2, c3]) AS key, unnest([0, 1, 2]) AS nth FROM
+(SELECT s_suppkey, 'none ' || s_suppkey AS c1, (SELECT min(p_name) FROM part WHERE p_size = s_nationkey) AS c2, 'small ring' AS c3 FROM supplier))
+SELECT s.s_suppkey, (SELECT arg_min(path, (nth, rank, path)) FROM c JOIN keyed USING (key) WHERE c.s_suppkey = s.s_suppkey) AS "to" FROM supplier s""")
+def ranked_candidates(supplier, part):
+    least = part.groupBy(F.col("p_size").alias("s_nationkey")).agg(F.min("p_name").alias("named"))
+    asked = supplier.join(small(least), "s_nationkey", "left").select("s_suppkey", F.array(F.concat(F.lit("none "), F.col("s_suppkey").cast("string")), "named", F.lit("small ring")).alias("keys"))
+    return R.first_candidate(asked, "keys", part.select(F.col("p_name").alias("key"), F.col("p_size").alias("rank"), F.col("p_partkey").alias("path")), ["s_suppkey"])
+
+
+_EXPORTS = "SELECT p_partkey AS path, CASE WHEN p_size % 7 = 0 THEN '*' ELSE p_brand END AS name, CASE WHEN p_size % 7 = 0 THEN '*' ELSE 'Brand#' || (p_size % 5 + 1) END AS original, (p_partkey * 31 + p_size * 7) % (SELECT count(*) FROM part) AS \"to\" FROM part"
+
+
+@query(f"""WITH RECURSIVE e AS ({_EXPORTS}), r(path, name) AS (SELECT p_partkey, 'Brand#' || (p_size % 5 + 1) FROM part UNION
+SELECT e."to", CASE WHEN e.name = '*' THEN r.name ELSE e.original END FROM r JOIN e ON e.path = r.path AND (e.name = r.name OR e.name = '*')) SELECT path, name FROM r""")
+def used_names_fixpoint(part):
+    star, brand = F.col("p_size") % 7 == 0, F.concat(F.lit("Brand#"), (F.col("p_size") % 5 + 1).cast("string"))
+    exports = _edges(part).join(part, F.col("src") == F.col("p_partkey")).select(F.col("src").alias("path"), F.when(star, "*").otherwise(F.col("p_brand")).alias("name"), F.when(star, "*").otherwise(brand).alias("original"), F.col("dst").alias("to"))
+    return A.used_exports(part.select(F.col("p_partkey").alias("path"), brand.alias("name")), exports).select("path", "name")
+
+
+@query("""WITH own AS (SELECT DISTINCT p_name AS name, p_partkey AS path, p_size % 2 = 0 AS typed FROM part), e AS (SELECT DISTINCT l_suppkey + 1000000000 AS src, l_partkey AS dst FROM lineitem WHERE l_quantity > 40),
+pass AS (SELECT p_partkey AS src, p_partkey + 1 AS dst FROM part WHERE p_size < 5), g AS (SELECT name FROM own GROUP BY name HAVING count(DISTINCT path) >= 2 AND NOT (count(*) FILTER (typed) = 1 AND count(*) FILTER (NOT typed) = 1)),
+r AS (SELECT DISTINCT name, path FROM own WHERE name IN (SELECT name FROM g) AND NOT EXISTS (SELECT 1 FROM pass JOIN own o ON o.path = pass.dst WHERE pass.src = own.path AND o.name = own.name)),
+shared AS (SELECT DISTINCT name FROM (SELECT name, src FROM r JOIN e ON e.dst = r.path GROUP BY name, src HAVING count(DISTINCT path) >= 2))
+SELECT name, count(*) AS n, min(path) AS first, max(path) AS last FROM r WHERE name IN (SELECT name FROM shared) GROUP BY name HAVING count(*) >= 2""")
+def shared_consumer_duplicates(part, lineitem):
+    own = part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("path"), (F.col("p_size") % 2 == 0).alias("type_only"))
+    edges = lineitem.where("l_quantity > 40").select((F.col("l_suppkey") + 1_000_000_000).alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    found = A.cross_file_duplicates(own, edges, part.where("p_size < 5").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst")))
+    return found.select("name", F.size("paths").cast("long").alias("n"), F.element_at("paths", 1).alias("first"), F.element_at("paths", -1).alias("last"))
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS l FROM documents),
+w AS (SELECT doc_id, l, word, row_number() OVER (PARTITION BY doc_id ORDER BY l, i) - 1 AS pos FROM (SELECT doc_id, l, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) AS i FROM t)),
+f AS (SELECT doc_id, list(word ORDER BY pos) AS ws, list(l ORDER BY pos) AS ls FROM w GROUP BY doc_id HAVING count(*) >= 50),
+win AS (SELECT doc_id, p AS pos, array_to_string(ws[p + 1 : p + 50], ' ') AS gram, ls[p + 1] AS a, ls[p + 50] AS b FROM (SELECT *, unnest(range(len(ws) - 49)) AS p FROM f)),
+two AS (SELECT gram, count(*) AS n FROM win GROUP BY gram HAVING count(*) >= 2),
+s AS (SELECT doc_id, pos, gram, a, b, n, CASE WHEN pos - lag(pos) OVER x = 1 AND n = lag(n) OVER x THEN 0 ELSE 1 END AS broke FROM win JOIN two USING (gram) WINDOW x AS (PARTITION BY doc_id ORDER BY pos)),
+runs AS (SELECT doc_id, min(a) AS start_line, max(b) AS end_line, min(pos) AS beg, arg_min(gram, pos) AS block, count(*) + 49 AS tokens FROM (SELECT *, sum(broke) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM s) GROUP BY doc_id, run),
+apart AS (SELECT * FROM (SELECT *, lag(beg + tokens) OVER (PARTITION BY doc_id, block ORDER BY beg) AS before FROM runs WHERE end_line - start_line + 1 >= 5) WHERE before IS NULL OR beg >= before),
+kept AS (SELECT * FROM apart JOIN (SELECT block, count(*) AS instances, count(DISTINCT doc_id) AS docs FROM apart GROUP BY block HAVING count(*) >= 2) USING (block)),
+inside AS (SELECT block, count(*) AS m, any_value(instances) AS instances FROM kept i WHERE EXISTS (SELECT 1 FROM kept o WHERE o.doc_id = i.doc_id AND o.instances = i.instances AND o.block <> i.block AND i.start_line >= o.start_line AND i.end_line <= o.end_line AND i.tokens < o.tokens) GROUP BY block)
+SELECT doc_id::varchar AS path, start_line::int AS start_line, end_line::int AS end_line, instances, tokens, CASE WHEN docs >= 2 THEN 'high' ELSE 'medium' END AS confidence FROM kept WHERE block NOT IN (SELECT block FROM inside WHERE m = instances)""")
+def repeated_blocks(documents):
+    lines = F.transform(F.split("text", "\n"), lambda t, i: F.transform(F.split(t, " "), lambda w: F.struct(w.alias("token"), (i + 1).cast("int").alias("line"))))
+    facts = documents.where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.flatten(lines).alias("tokens"))
+    return A.duplicate_blocks(facts, A.Options()).drop("block")
+
+
+@query("""SELECT o_custkey, count(*) AS orders, max(o_totalprice) AS most, (count(*) >= 15)::int + (max(o_totalprice) >= 400000)::int + (count(DISTINCT o_orderpriority) >= 5)::int AS breaches,
+CASE WHEN (count(*) >= 15)::int + (max(o_totalprice) >= 400000)::int + (count(DISTINCT o_orderpriority) >= 5)::int >= 2 THEN 'high' ELSE 'medium' END AS confidence FROM orders GROUP BY 1
+HAVING count(*) >= 15 OR max(o_totalprice) >= 400000 OR count(DISTINCT o_orderpriority) >= 5""")
+def threshold_breaches(orders):
+    n, most, kinds = F.count("*"), F.max("o_totalprice"), F.countDistinct("o_orderpriority")
+    rows = orders.groupBy("o_custkey").agg(n.alias("orders"), most.alias("most"), kinds.alias("kinds"))
+    rows = rows.withColumn("breaches", sum(F.when(F.col(c) >= k, 1).otherwise(0) for c, k in (("orders", 15), ("most", 400_000), ("kinds", 5))))
+    return rows.where("breaches > 0").drop("kinds").withColumn("confidence", F.when(F.col("breaches") >= 2, "high").otherwise("medium"))
+
+
+@query("""SELECT DISTINCT f.o_orderkey, f.o_custkey FROM orders f JOIN (SELECT o_custkey, o_orderkey AS line FROM orders WHERE o_orderpriority = '5-LOW') u ON u.o_custkey = f.o_custkey AND u.line BETWEEN f.o_orderkey AND f.o_orderkey + 400
+WHERE f.o_orderstatus = 'F'""")
+def guards_over_lines(orders):
+    lines = orders.where("o_orderpriority = '5-LOW'").select(F.col("o_custkey").alias("by"), F.col("o_orderkey").alias("line"))
+    flags = orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+    return flags.join(lines, (F.col("o_custkey") == F.col("by")) & F.col("line").between(F.col("o_orderkey"), F.col("o_orderkey") + 400), "left_semi").distinct()
+
+
+_RULES = "*.html\n/en/\n!/en/**/keep*\nfr/*7*\n"
+
+
+@query("""SELECT page_id, path, CASE WHEN regexp_matches(path, '^fr/[^/]*7[^/]*(/|$)') THEN true WHEN regexp_matches(path, '^en/([^/]+/)*keep[^/]*(/|$)') THEN false WHEN regexp_matches(path, '^en/') THEN true
+WHEN regexp_matches(path, '(^|/)[^/]*[.]html(/|$)') THEN true ELSE false END AS ignored FROM (SELECT page_id, regexp_extract(url, '^[^:]+://[^/]+/(.*)$', 1) AS path FROM pages)""")
+def ignore_rules(pages):
+    rules = Project("", [], {".gitignore": _RULES})
+    return pages.select("page_id", F.regexp_extract("url", "^[^:]+://[^/]+/(.*)$", 1).alias("path")).withColumn("ignored", rules.ignored())
+
+
+@query("""SELECT path, CASE WHEN regexp_matches(path, '^([^/]+/)*[^/]*8[^/]*$') AND NOT contains(path, '.gen.') THEN 'test' WHEN regexp_matches(path, '^(en|de)/[0-9]+([.]html)?$') OR path = 'fr/1' THEN 'production'
+WHEN regexp_matches(path, '^es/') THEN 'always' END AS kind FROM (SELECT DISTINCT regexp_extract(url, '^[^:]+://[^/]+/([^?#]*)', 1) AS path FROM pages)
+WHERE regexp_matches(path, '^([^/]+/)*[^/]*8[^/]*$') OR regexp_matches(path, '^(en|de)/[0-9]+([.]html)?$') OR path = 'fr/1' OR regexp_matches(path, '^es/')""")
+def entry_rules(pages):
+    files = pages.select(F.regexp_extract("url", "^[^:]+://[^/]+/([^?#]*)", 1).alias("path")).distinct()
+    digits = [f"{{en,de}}/{'[0-9]' * n}{end}" for n in range(1, 12) for end in ("", ".html")]
+    return Entries(production=digits, tests=["**/*8*"], always=["es/**"], paths=["fr/1"]).mark(pages.sparkSession, files)
+
+
+@query("""SELECT p_partkey, base, count(*) OVER (PARTITION BY base) AS siblings FROM (SELECT p_partkey, regexp_replace(CASE WHEN p_size % 3 = 0 THEN p_name || '.ios.ts' WHEN p_size % 3 = 1 THEN p_name || '.ts' ELSE 'native/' || p_name || '.ts' END, '^native/|[.]ios', '') AS base FROM part)""")
+def platform_groups(part):
+    path = F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit(".ios.ts"))).when(F.col("p_size") % 3 == 1, F.concat("p_name", F.lit(".ts"))).otherwise(F.concat(F.lit("native/"), F.col("p_name"), F.lit(".ts")))
+    based = part.select("p_partkey", A.platform_base(path).alias("base"))
+    return based.join(based.groupBy("base").agg(F.count("*").alias("siblings")), "base").select("p_partkey", "base", "siblings")
+
+
+@query(r"""SELECT name, count(*) AS documents FROM documents JOIN (VALUES ('the'), ('and'), ('der'), ('les')) AS n(name) ON regexp_matches(text, '(^|[\s=''"`(,;:|&])' || name || '(/[^\s''"`]*)?($|[\s=''"`),;:|&])') GROUP BY name""")
+def named_tokens(documents):
+    names = documents.sparkSession.createDataFrame([(n, token(n).pattern) for n in ("the", "and", "der", "les")], "name string, pattern string")
+    return R.matching(documents.select("text"), "text", names, "pattern").groupBy("name").agg(F.count("*").alias("documents"))
+
+
+@query("""SELECT user_id, bool_or(event_type = 'purchase') AS value_use, bool_or(event_type = 'view') AS type_use FROM events GROUP BY user_id HAVING bool_or(event_type = 'error') AND NOT bool_or(event_type = 'purchase' AND value > 90)""")
+def type_only_uses(events):
+    g = events.groupBy("user_id").agg(F.bool_or(F.col("event_type") == "purchase").alias("value_use"), F.bool_or(F.col("event_type") == "view").alias("type_use"), F.bool_or(F.col("event_type") == "error").alias("any"), F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 90)).alias("big"))
+    return g.where("any and not big").select("user_id", "value_use", "type_use")
+
+
+@query("""SELECT p_partkey FROM part WHERE regexp_matches(p_name || '.' || p_type, '^[^/]*(ring|bolt)[^/]*$')""")
+def glob_filter(part):
+    return part.where(F.concat_ws(".", "p_name", "p_type").rlike(any_of(["*{ring,bolt}*"]))).select("p_partkey")

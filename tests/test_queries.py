@@ -67,6 +67,17 @@ def test_strong_components_of_a_long_chain(spark):
         R.strongly_connected(frame, local_edges=0, rounds=1)
 
 
+def test_components(spark):
+    rng = random.Random(5)
+    edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(25)}
+    root = {n: n for e in edges for n in e}
+    for a, b in list(edges) * 40:
+        root[a] = root[b] = min(root[a], root[b])
+    frame = spark.createDataFrame(sorted(edges), "src int, dst int")
+    for local in (100, 0):
+        assert {r.node: r.component for r in R.components(frame, local_edges=local).collect()} == root
+
+
 def test_elementary_cycles(spark):
     rng = random.Random(3)
     edges = {(rng.randrange(9), rng.randrange(9)) for _ in range(22)}
