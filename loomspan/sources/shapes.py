@@ -131,14 +131,29 @@ def _functions(code: Code) -> Iterator[tuple[str, int, int, int, int]]:
                 yield name, start, i + 1, code.mate[i + 1], n
             else:
                 yield name, start, i + 1, _expression_end(code, i + 1), n
-        elif kind == "punct" and text == "(" and code.is_name(i - 1) and code.at(i - 1) not in _CONTROL | {"function", "return", "super", "constructor_"} and i in code.mate and code.mate[i] > i:
-            before = code.at(i - 2)
-            if before == ")" and code.toks[i - 2][0] == "punct" and (opens := code.mate.get(i - 2)) is not None and code.at(code.dotted_to(opens)[1] - 1) == "@":
+        elif kind == "punct" and text == "(" and code.mate.get(i, 0) > i:
+            at = _before_generics(code, i - 1)
+            if not code.is_name(at) or code.at(at) in _CONTROL | {"function", "return", "super", "new", "await", "typeof"}:
+                continue
+            before = code.at(at - 1)
+            if before == ")" and code.toks[at - 1][0] == "punct" and (opens := code.mate.get(at - 1)) is not None and code.at(code.dotted_to(opens)[1] - 1) == "@":
                 before = ";"  # a decorator
-            if before in ("{", "}", ";", ",", "*") or before in _MODIFIERS or code.breaks(i - 1) and before not in _OPERATORS:
+            if before in ("{", "}", ";", ",", "*") or before in _MODIFIERS or code.breaks(at) and before not in _OPERATORS:
                 brace = _body_after(code, code.mate[i])
-                if brace is not None and brace in code.mate and code.at(i - 1) not in ("new", "await", "typeof"):
-                    yield code.at(i - 1), i - 1, brace, code.mate[brace], count(i)
+                if brace is not None and brace in code.mate:
+                    yield code.at(at), at, brace, code.mate[brace], count(i)
+
+
+def _before_generics(code: Code, i: int) -> int:
+    """The token before the type parameters that end at token i, or i if none do."""
+    if code.at(i) != ">" or code.toks[i][0] != "punct":
+        return i
+    depth = 0
+    for k in range(i, max(-1, i - 60), -1):
+        depth += (code.at(k) == ">") - (code.at(k) == "<")
+        if not depth:
+            return k - 1
+    return i
 
 
 def _expression_end(code: Code, k: int) -> int:
