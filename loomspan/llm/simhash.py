@@ -170,7 +170,7 @@ def _forest(node: np.ndarray, lanes: np.ndarray, side: np.ndarray, anchor: int,
 
 
 #: Bits up to which candidates count as equally near when a forest of them is chosen.
-LEVELS = np.array([4, 10, 16, 22, 28, 34, 40, 46, 192])
+LEVELS = np.array([4, 10, 16, 22, 30, 192])
 
 
 def _joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -343,7 +343,7 @@ def clusters(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
 
 #: The near-duplicate filter: words of a shingle, least part of the shingles shared (Jaccard), and for the
 #: candidates: lanes, and differing bits in all.
-NEAR_SHINGLE, NEAR_SHARED, NEAR_LANES, NEAR_DISTANCE = 5, 0.8, 3, 46
+NEAR_SHINGLE, NEAR_SHARED, NEAR_LANES, NEAR_DISTANCE = 5, 0.8, 3, 30
 #: Pairs of whole texts that a Python worker takes at a time.
 PAIR_ROWS = 64
 
@@ -366,7 +366,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int = NEAR_SHINGLE, lea
     Only texts in some pair are moved, one row for each, whatever its number of copies.
     """
     spark = docs.sparkSession
-    needed = pin(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    needed = pin(pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct())
     texts = only(docs, text=text_col).select(F.xxhash64("text").alias("node"), "text")
     texts = stored(texts.join(small(needed), "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
@@ -512,7 +512,7 @@ def possible(pairs: DataFrame, docs: DataFrame, least: float = NEAR_SHARED, text
 
     Sketches differ by no more than the number of shingles that only one of the texts has: none that share so much goes.
     """
-    needed = pin(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    needed = pin(pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct())
     texts = only(docs, text=text_col).select(F.xxhash64("text").alias("node"), "text").join(small(needed), "node", "left_semi").dropDuplicates(["node"])
 
     def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
