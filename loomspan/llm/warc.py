@@ -18,10 +18,10 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import batches, only, small, stored
+from loomspan.llm.common import batches, only, pin, small, stored
 
 #: Payloads from this size on are stored once; bytes of an archive before compression; bytes of a chunk.
 REVISIT_BYTES, ARCHIVE_BYTES, CHUNK_BYTES = 1000, 16 << 20, 1 << 20
@@ -126,6 +126,15 @@ def write(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     return rows.select("page_id", "url", "payload", "sha1", "refers_to").mapInArrow(run, "archive long, chunk int, data binary")
 
 
+def _numbered(archives: DataFrame) -> DataFrame:
+    """archive, nth (int, from 0 without gaps): numbered by the task that wrote them, then in order."""
+    ids = archives.select("archive", F.shiftright("archive", 24).alias("task")).distinct()
+    own = ids.withColumn("own", F.row_number().over(Window.partitionBy("task").orderBy("archive")) - 1)
+    tasks = ids.groupBy("task").agg(F.count("*").alias("n"))  # one row for each task
+    before = tasks.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return own.join(small(before), "task").select("archive", (F.col("own") + F.col("before")).cast("int").alias("nth"))
+
+
 def normalise(archives: DataFrame) -> DataFrame:
     """archive, record, record_id, offset, length, data: each record as a gzip member of its own.
 
@@ -162,8 +171,10 @@ def normalise(archives: DataFrame) -> DataFrame:
     def batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), archives.select("archive").distinct().count())
-    ordered = archives.repartition(partitions, "archive").sortWithinPartitions("archive", "chunk")
+    numbered = pin(_numbered(archives))
+    total = max(1, numbered.count())
+    placed = archives.join(small(numbered), "archive").repartitionById(total, "nth")  # a task for each archive
+    ordered = placed.sortWithinPartitions("archive", "chunk").select("archive", "chunk", "data")
     return ordered.mapInArrow(run, "archive long, record int, record_id string, offset long, length int, data binary")
 
 
