@@ -251,9 +251,9 @@ def shared_consumer_duplicates(part, lineitem):
 @query("""WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS l FROM documents),
 w AS (SELECT doc_id, l, word, row_number() OVER (PARTITION BY doc_id ORDER BY l, i) - 1 AS pos FROM (SELECT doc_id, l, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) AS i FROM t)),
 f AS (SELECT doc_id, list(word ORDER BY pos) AS ws, list(l ORDER BY pos) AS ls FROM w GROUP BY doc_id HAVING count(*) >= 50),
-win AS (SELECT doc_id, p AS pos, array_to_string(ws[p + 1 : p + 50], ' ') AS gram, ls[p + 1] AS a, ls[p + 50] AS b FROM (SELECT *, unnest(range(len(ws) - 49)) AS p FROM f)),
-two AS (SELECT gram, count(*) AS n FROM win GROUP BY gram HAVING count(*) >= 2),
-s AS (SELECT doc_id, pos, gram, a, b, n, CASE WHEN pos - lag(pos) OVER x = 1 AND n = lag(n) OVER x THEN 0 ELSE 1 END AS broke FROM win JOIN two USING (gram) WINDOW x AS (PARTITION BY doc_id ORDER BY pos)),
+win AS (SELECT doc_id, p AS pos, array_to_string(ws[p + 1 : p + 50], ' ') AS gram, CASE WHEN p + 51 <= len(ws) THEN array_to_string(ws[p + 2 : p + 51], ' ') END AS follow, ls[p + 1] AS a, ls[p + 50] AS b FROM (SELECT *, unnest(range(len(ws) - 49)) AS p FROM f)),
+two AS (SELECT gram, count(*) AS n, count(DISTINCT follow) + max((follow IS NULL)::int) AS follows FROM win GROUP BY gram HAVING count(*) >= 2),
+s AS (SELECT doc_id, pos, gram, a, b, n, CASE WHEN pos - lag(pos) OVER x = 1 AND n = lag(n) OVER x AND lag(follows) OVER x = 1 THEN 0 ELSE 1 END AS broke FROM win JOIN two USING (gram) WINDOW x AS (PARTITION BY doc_id ORDER BY pos)),
 runs AS (SELECT doc_id, min(a) AS start_line, max(b) AS end_line, min(pos) AS beg, arg_min(gram, pos) AS block, count(*) + 49 AS tokens FROM (SELECT *, sum(broke) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM s) GROUP BY doc_id, run),
 apart AS (SELECT * FROM (SELECT *, lag(beg + tokens) OVER (PARTITION BY doc_id, block ORDER BY beg) AS before FROM runs WHERE end_line - start_line + 1 >= 5) WHERE before IS NULL OR beg >= before),
 kept AS (SELECT * FROM apart JOIN (SELECT block, count(*) AS instances, count(DISTINCT doc_id) AS docs FROM apart GROUP BY block HAVING count(*) >= 2) USING (block)),
