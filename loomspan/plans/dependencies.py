@@ -15,6 +15,7 @@ from loomspan.sources.globs import any_of
 from loomspan.sources.projects import Project, is_source
 from loomspan.sources.resolver import package_of
 
+# What parts commands, and variables set before one.
 _SPLIT = re.compile(r"\s*(?:&&|\|\||[;&|])\s*")
 _SET = re.compile(r"[A-Z_][A-Z0-9_]*=")
 
@@ -56,12 +57,12 @@ def commanded(command: str, names: set[str], bins: dict[str, str]) -> Iterator[s
 
 
 def token(name: str) -> re.Pattern[str]:
-    """A package's name as a word of a command line, maybe with a path after it."""
+    """A package's name as a word of a command line, maybe with a path after it (a fixed form)."""
     return re.compile(rf"(?:^|[\s='\"`(,;:|&]){re.escape(name)}(?:/[^\s'\"`]*)?(?=$|[\s='\"`),;:|&])")
 
 
 def imported(name: str) -> str:
-    """A regular expression of statements that import a package."""
+    """A regular expression of statements that import a package (fixed forms)."""
     whole = re.escape(name) + "(?:/[^'\"]*)?"
     return rf"(?:\bfrom\s+|\bimport\s+(?:[^'\";\n]*?\sfrom\s+)?|\brequire\s*\(\s*|\bimport\s*\(\s*)['\"]{whole}['\"]|\brequire\s*\(\s*`{re.escape(name)}"
 

@@ -235,6 +235,7 @@ def _wrapped(code: patterns.Code, opens: int) -> str | None:
     return _wrapped(code, end + 1) if end > opens and code.at(end + 1) == "(" else None
 
 
+# Fixed value: texts that look like the name of a source file.
 _FILENAME = re.compile(r"(?<![./@\w-])[\"'`]([a-z][\w-]*\.(?:ts|tsx|js|jsx|mts|mjs|cts|cjs))[\"'`]")
 # Exports that frameworks read by name, which are no constants to share.
 _RESERVED = frozenset("dynamic dynamicParams revalidate runtime fetchCache preferredRegion maxDuration metadata viewport generateStaticParams generateMetadata config loader action links meta headers handle shouldRevalidate ErrorBoundary HydrateFallback Layout".split())
