@@ -245,14 +245,14 @@ def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, block: int
     for r in counts.where((F.col("homes") > block) | (F.col("visits") > block)).collect():  # at most `every` rows
         split_h[r.anchor], split_v[r.anchor] = -(-r.homes // block), -(-r.visits // block)
 
-    def dealt(row: np.ndarray, at: np.ndarray, salt: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows with a key for each block of the other side: anchor, home block, visitor block."""
+    def dealt(row: np.ndarray, at: np.ndarray, salt: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows with a key for each block of the other side: anchor, home block, visitor block, side."""
         own, other = (split_v, split_h) if side else (split_h, split_v)
         copies = other[at]
         row, at, salt = (np.repeat(x, copies) for x in (row, at, salt))
         nth = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
         mine = salt % own[at]
-        return row, at << 40 | (nth if side else mine) << 20 | (mine if side else nth), np.full(len(row), side, np.int8)
+        return row, (at << 40 | (nth if side else mine) << 20 | (mine if side else nth)) << 1 | side
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
@@ -264,9 +264,9 @@ def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, block: int
                     homes, at = homes + i * N_ANCHORS, at + i * N_ANCHORS
                     own = np.repeat(np.arange(len(node)), PARTS)
                     parts = [dealt(own, homes.ravel(), salt[own], 0), dealt(row, at, salt[row], 1)]
-                    row, key, side = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    cols = [key, node[row], side, *(f[row, k] for k in range(len(names)))]
-                    yield from (pa.RecordBatch.from_arrays([pa.array(c[j : j + 50_000]) for c in cols], ["key", "node", "side", *names]) for j in range(0, len(key), 50_000))
+                    row, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    cols = [key, node[row], *(f[row, k] for k in range(len(names)))]
+                    yield from (pa.RecordBatch.from_arrays([pa.array(c[j : j + 50_000]) for c in cols], ["key", "node", *names]) for j in range(0, len(key), 50_000))
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; what belongs to the last key of a batch waits for the next."""
@@ -287,7 +287,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, block: int
             if not batch.num_rows:
                 continue
             key = batch.column("key").to_numpy()
-            now = (key, batch.column("node").to_numpy(), batch.column("side").to_numpy(), values(batch).view(np.uint64))
+            key, side = key >> 1, key & 1
+            now = (key, batch.column("node").to_numpy(), side, values(batch).view(np.uint64))
             last = np.searchsorted(key, key[-1])
             if last or held and held[-1][0][-1] != key[0]:
                 ready = [*held, tuple(x[:last] for x in now)]
@@ -297,9 +298,9 @@ def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, block: int
         if held:
             yield from done(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    dealt_rows = nodes.select("node", *names).mapInArrow(deal, "key long, node long, side byte" + "".join(f", {n} long" for n in names))
+    dealt_rows = nodes.select("node", *names).mapInArrow(deal, "key long, node long" + "".join(f", {n} long" for n in names))
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt_rows.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
+    return dealt_rows.repartition(partitions, F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -462,7 +463,7 @@ def sharing(docs: DataFrame, rooted: DataFrame, least: float = NEAR_SHARED, text
     spark = docs.sparkSession
     often = spark.sparkContext.broadcast(frequencies(docs, text_col))
     texts = only(docs, text=text_col).select(F.xxhash64("text").alias("node"), "text").dropDuplicates(["node"]).join(rooted.select("node", "root"), "node")
-    names = ["key", "root", "node", "nth", "size"]
+    names = ["key", "root", "node", "place"]  # place: number among the text's prefix, and shingles of the text
 
     def post(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
@@ -474,7 +475,7 @@ def sharing(docs: DataFrame, rooted: DataFrame, least: float = NEAR_SHARED, text
                     keys.append(prefix(h, often.value, least).view(np.int64))
                 each = np.array([len(k) for k in keys])
                 nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                cols = [np.concatenate(keys), *(np.repeat(b.column(n).to_numpy(), each) for n in ("root", "node")), nth.astype(np.int32), np.repeat(np.array(size, np.int32), each)]
+                cols = [np.concatenate(keys), *(np.repeat(b.column(n).to_numpy(), each) for n in ("root", "node")), nth << 32 | np.repeat(np.array(size, np.int64), each)]
                 yield from (pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cols], names) for i in range(0, len(nth), 50_000))
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,7 +483,8 @@ def sharing(docs: DataFrame, rooted: DataFrame, least: float = NEAR_SHARED, text
         held: list[tuple[np.ndarray, ...]] = []
 
         def done() -> Iterator[pa.RecordBatch]:
-            for a, b in _pairs_apart(*(np.concatenate(x) for x in zip(*held, strict=True)), least):
+            key, root, node, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            for a, b in _pairs_apart(key, root, node, place >> 32, place & (1 << 32) - 1, least):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in it:
@@ -499,7 +501,7 @@ def sharing(docs: DataFrame, rooted: DataFrame, least: float = NEAR_SHARED, text
             yield from done()
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.mapInArrow(post, "key long, root long, node long, nth int, size int")
+    rows = texts.mapInArrow(post, "key long, root long, node long, place long")
     return rows.repartition(partitions, "key").sortWithinPartitions("key", "root").mapInArrow(compare, "a long, b long").distinct()
 
 
