@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import decontamination, html_extraction, packing, quality, secrets, sharding, simhash, toxicity, url_filters, warc
+from loomspan.llm import clustering, conversations, decontamination, html_extraction, packing, quality, secrets, sharding, simhash, toxicity, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,6 +21,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         simhash.op8_simhash_near_dedup,
         warc.op9_warc,
         url_filters.op10_url_filters,
+        clustering.op11_centroid_clustering,
+        conversations.op12_conversation_trie,
     )
 }
-ORACLE_SQL = {"op2_benchmark_decontamination": decontamination.OP2_SQL, "op9_warc": warc.OP9_SQL, "op10_url_filters": url_filters.OP10_SQL}
+ORACLE_SQL = {
+    "op2_benchmark_decontamination": decontamination.OP2_SQL,
+    "op9_warc": warc.OP9_SQL,
+    "op10_url_filters": url_filters.OP10_SQL,
+    "op11_centroid_clustering": clustering.OP11_SQL,
+    "op12_conversation_trie": conversations.OP12_SQL,
+}
