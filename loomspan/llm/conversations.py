@@ -167,16 +167,12 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
         kids = kids if under is None else kids.unionByName(under.select("parent", "leaves", "saved"))
         sums = kids.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("children"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
         own = (F.col("convs") - 1) * F.col("size")
-        under = pin(levels[depth].join(sums, "node", "left").select("node", "parent", "convs", F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("leaves", F.lit(1)).alias("leaves"), (own + F.coalesce("saved", F.lit(0))).alias("saved")))
-        out = out.unionByName(_named(under, ended[depth].join(digests, "rep").drop("rep"), depth))
+        here = levels[depth].join(sums, "node", "left").join(ended[depth].join(digests, "rep").drop("rep"), "node", "left")
+        under = pin(here.select("node", "parent", "convs", F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("leaves", F.lit(1)).alias("leaves"), (own + F.coalesce("saved", F.lit(0))).alias("saved"), F.coalesce("ends_sha256", F.lit(_EMPTY)).alias("ends_sha256")))
+        out = out.union(under.select("node", F.lit(depth).cast("long"), "parent", "convs", "children", "leaves", "saved", "ends_sha256"))
     return out
 
 
-def _named(level: DataFrame, ended: DataFrame, depth: int) -> DataFrame:
-    """The rows of one depth; ended has node, ends_sha256."""
-    return level.join(ended, "node", "left").select(F.col("node").alias("conv_id"), F.lit(depth).cast("long").alias("depth"), F.col("parent").alias("parent_conv_id"), F.col("convs").alias("n_convs"), F.col("children").alias("n_children"), F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(_EMPTY)).alias("ends_sha256"))
-
-
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*grafted(stored(numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet")))))
 

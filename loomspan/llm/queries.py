@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import clustering, conversations, decontamination, html_extraction, packing, quality, secrets, sharding, simhash, toxicity, url_filters, warc
+from loomspan.llm import clustering, conversations, decontamination, html_extraction, packing, personal, quality, secrets, sharding, simhash, toxicity, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         url_filters.op10_url_filters,
         clustering.op11_centroid_clustering,
         conversations.op12_conversation_trie,
+        personal.op13_pii,
     )
 }
 ORACLE_SQL = {
