@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -78,16 +79,77 @@ def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str,
 
 
 def contained(inner: DataFrame, outer: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """Rows of `inner` with `at` within a span of `outer` of the same key.
+    """Rows of `inner` with `at` within a span of `outer` of the same key; all three are whole numbers.
 
-    Spans are cut at multiples of their mean width, so a key with many rows is spread over its bins and a
-    span yields three rows on the average at most.
+    A span of up to 2^l places lies in two blocks of that size at most, so it yields two rows however wide it is, and a
+    place looks into one block of each size that occurs (64 at most). A block's spans fill a quarter of its places or
+    more, so few pairs that meet don't match; a block with many rows is split by Spark like any skewed join.
     """
-    width = max(1, int(outer.agg(F.avg(F.col(end) - F.col(start))).first()[0] or 0) + 1)
-    cut = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
-    spans = outer.where(F.col(end) >= F.col(start)).select(F.col(key).alias("_key"), F.col(start).alias("_start"), F.col(end).alias("_end"), F.explode(F.sequence(cut(start), cut(end))).alias("_bin"))
-    met = inner.withColumn("_at", cut(at)).join(spans, (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_bin")) & F.col(at).between(F.col("_start"), F.col("_end")), "left_semi")
-    return met.drop("_at")
+    size = F.when(F.col(end) > F.col(start), F.ceil(F.log2((F.col(end) - F.col(start) + 1).cast("double")))).otherwise(0).cast("int")
+    spans = outer.where(F.col(end) >= F.col(start)).select(F.col(key).alias("_key"), F.col(start).cast("long").alias("_start"), F.col(end).cast("long").alias("_end"), size.alias("_size"))
+    spans = spans.withColumn("_block", F.explode(F.sequence(F.expr("shiftright(_start, _size)"), F.expr("shiftright(_end, _size)"))))
+    sizes = sorted(r[0] for r in spans.select("_size").distinct().collect())
+    within = F.col("_at").between(F.col("_start"), F.col("_end"))
+
+    def blocks(points: DataFrame) -> DataFrame:
+        return points.withColumn("_where", F.explode(F.array(*(F.struct(F.lit(n).alias("_size"), F.shiftright("_at", n).alias("_block")) for n in sizes))))
+
+    def met(points: DataFrame) -> DataFrame:
+        return points.join(spans, (F.col("_point") == F.col("_key")) & (F.col("_where._size") == F.col("_size")) & (F.col("_where._block") == F.col("_block")) & within, "left_semi")
+
+    if not sizes:
+        return inner.where("false")
+    keyed = inner.withColumns({"_point": F.col(key), "_at": F.col(at).cast("long")})
+    if len(sizes) == 1:
+        return met(blocks(keyed)).drop("_point", "_at", "_where")
+    found = met(blocks(keyed.select("_point", "_at").distinct())).select("_point", "_at").distinct()
+    return keyed.join(found, ["_point", "_at"], "left_semi").drop("_point", "_at")
+
+
+def covered(rows: DataFrame, keys: list[str], start: str, end: str, weight: str) -> DataFrame:
+    """Rows whose span lies within that of another row of the same keys with a greater weight; no column is null.
+
+    One pass over each key's rows in the order of their starts holds the ends so far that no later end with more weight
+    makes needless, so n rows take n steps and no pair is made. Keys with many rows pass through a task as a stream.
+    """
+    order = [F.asc(start), F.desc(end), F.desc(weight)]
+    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ends, weights = None, [], []  # ends ascend, the weights of what ends there or later descend
+        for b in it:
+            keep = []
+            for *k, e, w in zip(*(b.column(c).to_pylist() for c in (*keys, end, weight)), strict=True):
+                if k != now:
+                    now, ends, weights = k, [], []
+                i = bisect_left(ends, e)
+                best = weights[i] if i < len(ends) else None
+                keep.append(best is not None and best > w)
+                if best is None or best < w:
+                    j = i + (i < len(ends) and ends[i] == e)
+                    while i > 0 and weights[i - 1] <= w:
+                        i -= 1
+                    ends[i:j], weights[i:j] = [e], [w]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return sorted_rows.mapInArrow(run, rows.schema)
+
+
+def apart(rows: DataFrame, keys: list[str], at: str, width: str) -> DataFrame:
+    """Of each key's rows in the order of `at`, those that begin behind the end of the last one kept: a stream a key."""
+    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, at)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, end = None, 0
+        for b in it:
+            keep = []
+            for *k, a, w in zip(*(b.column(c).to_pylist() for c in (*keys, at, width)), strict=True):
+                keep.append(k != now or a >= end)
+                if keep[-1]:
+                    now, end = k, a + w
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return sorted_rows.mapInArrow(run, rows.schema)
 
 
 def matching(rows: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:

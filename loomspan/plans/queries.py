@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.text import basename, dirname, guard, posix
 from loomspan.operators import relational as R
+from loomspan.operators import suffixes as S
 from loomspan.operators.durable import small
 from loomspan.plans import analyze as A
 from loomspan.plans.dependencies import token
@@ -324,3 +325,40 @@ def type_only_uses(events):
 @query("""SELECT p_partkey FROM part WHERE regexp_matches(p_name || '.' || p_type, '^[^/]*(ring|bolt)[^/]*$')""")
 def glob_filter(part):
     return part.where(F.concat_ws(".", "p_name", "p_type").rlike(any_of(["*{ring,bolt}*"]))).select("p_partkey")
+
+
+_WORDS = r"SELECT doc_id, i - 1 AS pos, ws[i] AS token FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '[ \n]') AS ws FROM documents WHERE text IS NOT NULL))"
+
+
+def _doubled(rounds: int = 15) -> str:
+    """CTEs d0, d1, ...: every word's rank by its first 1, 2, 4, ... words, and in `ranks` by all of them."""
+    out = f"t AS ({_WORDS}), m AS (SELECT doc_id, dense_rank() OVER (ORDER BY doc_id) - 1000000000000 AS mark FROM (SELECT DISTINCT doc_id FROM t)),\nd0 AS (SELECT doc_id, pos, mark, rank() OVER (ORDER BY token) - 1 AS r0 FROM t JOIN m USING (doc_id))"
+    for j in range(rounds):
+        out += f",\nd{j + 1} AS (SELECT *, rank() OVER (ORDER BY r{j}, ahead) - 1 AS r{j + 1} FROM (SELECT * EXCLUDE (ahead), coalesce(lead(r{j}, {2**j}) OVER (PARTITION BY doc_id ORDER BY pos), mark) AS ahead FROM (SELECT *, 0 AS ahead FROM d{j})))".replace("SELECT *, rank()", "SELECT * EXCLUDE (ahead), rank()")
+    return out
+
+
+@query(f"WITH {_doubled()} SELECT doc_id, pos::bigint AS pos, r15::bigint AS rank FROM d15")
+def suffix_ranks(documents):
+    """Documents have fewer than 2^15 words, so 15 rounds of SQL rank them."""
+    found = S.suffixes(_tokens(documents))
+    return found.ranks.join(found.files, "file").select(F.col("name").alias("doc_id"), "pos", "rank")
+
+
+def _tokens(documents):
+    return documents.where("text is not null").select(F.col("doc_id").alias("name"), F.posexplode(F.split("text", "[ \n]")).alias("pos", "token"))
+
+
+def _prefixes(least: int, rounds: int = 15) -> str:
+    floor = least.bit_length() - 1
+    out = f"p{rounds + 1} AS (SELECT a.doc_id, a.pos, a.r{rounds} AS place, b.doc_id AS d, b.pos AS p, 0 AS l FROM d{rounds} a JOIN d{rounds} b ON b.r{rounds} = a.r{rounds} - 1 AND a.r{floor} = b.r{floor})"
+    for j in reversed(range(rounds + 1)):
+        out += f",\np{j} AS (SELECT x.* EXCLUDE (l), l + CASE WHEN a.r{j} = b.r{j} THEN {2**j} ELSE 0 END AS l FROM p{j + 1} x LEFT JOIN d{rounds} a ON a.doc_id = x.doc_id AND a.pos = x.pos + l LEFT JOIN d{rounds} b ON b.doc_id = x.d AND b.pos = x.p + l)"
+    return out
+
+
+@query(f"""WITH {_doubled()}, {_prefixes(50)}, s AS (SELECT place, l, place - row_number() OVER (ORDER BY place) AS run FROM p0 WHERE l >= 50),
+e AS (SELECT a.place, a.l, a.run, max(b.place) FILTER (b.place < a.place AND b.l <= a.l) AS before, min(b.place) FILTER (b.place > a.place AND b.l < a.l) AS after, min(b.place) - 1 AS lo, max(b.place) + 1 AS hi FROM s a JOIN s b USING (run) GROUP BY ALL)
+SELECT coalesce(before, lo) AS "first", coalesce(after, hi) - coalesce(before, lo) AS n, l::bigint AS length FROM e""")
+def lcp_intervals(documents):
+    return S.intervals(S.common_prefixes(S.suffixes(_tokens(documents)), 50), nested=True)
