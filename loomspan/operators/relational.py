@@ -195,15 +195,36 @@ def _in_one_task(edges: DataFrame, work: Callable[[dict[object, list]], list[tup
     return edges.select("src", "dst").repartition(1).mapInArrow(run, schema)
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 1000, patience: int = 3) -> DataFrame:
     """Nodes reachable from seeds (column node) over edges (src, dst): semi-naive, a frontier join a round.
 
-    Only the frontiers are written, each to the shared folder; it ends when one is empty.
+    After `patience` rounds one edge of each node that is left leads on as a jump, and jumps double each round: all known
+    nodes take the newest jumps, new ones the older as well. So a path whose edges are jumps is walked in as many rounds
+    as its length has binary digits, and others take a few rounds for each edge that is none. Only frontiers and jumps are
+    written, each to the shared folder; it ends when a frontier is empty.
     """
     edges = pin(edges.select("src", "dst").distinct())
     known = frontier = pin(seeds.select("node").distinct())
-    for _ in range(rounds):
-        frontier = pin(edges.join(frontier, edges.src == frontier.node, "left_semi").select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti"))
+    jumps: list[DataFrame] = []
+    most = 0
+
+    def ahead(over: DataFrame, nodes: DataFrame) -> DataFrame:
+        return over.join(nodes, over["src"] == nodes["node"], "left_semi").select(F.col("dst").alias("node"))
+
+    for nth in range(rounds):
+        steps = ahead(edges, frontier)
+        if nth == patience:  # what a known node leads to is known, so these begin at new or unknown ones
+            left = edges.where("src <> dst").join(known, edges["dst"] == known["node"], "left_anti")
+            jumps.append(pin(left.groupBy("src").agg(F.min_by("dst", F.xxhash64("src", "dst")).alias("dst"))))
+            most = jumps[0].count()
+        elif jumps and 2 ** len(jumps) <= most:
+            then = jumps[-1].select(F.col("src").alias("via"), F.col("dst").alias("to"))
+            jumps.append(pin(jumps[-1].join(then, F.col("dst") == F.col("via")).select("src", F.col("to").alias("dst"))))
+        if jumps:
+            steps = steps.unionByName(ahead(jumps[-1], known))
+        for older in jumps[:-1]:
+            steps = steps.unionByName(ahead(older, frontier))
+        frontier = pin(steps.distinct().join(known, "node", "left_anti"))
         if frontier.isEmpty():
             return known
         known = known.unionByName(frontier)
@@ -432,3 +453,37 @@ def elementary_cycles(edges: DataFrame, per_component: int = 20, most: int = 200
 
     made = pin(inside.groupBy("scc").applyInArrow(run, schema))
     return made.orderBy("size", "nodes").limit(most).orderBy(F.size("nodes"), "nodes").select("nodes")
+
+
+def short_cycles(edges: DataFrame, length: int) -> DataFrame:
+    """nodes (from the least on) of all elementary cycles of two to `length` nodes, by joins of rooted paths.
+
+    From each node, as the least of its cycles, paths over greater nodes go half the way forward and half the way back;
+    those that meet in a node and share no other are a cycle. Edges that lie on no cycle, as nothing leads to them or on
+    from them, go first. No component is gathered; paths of half the length are the most that is made.
+    """
+    left = pin(edges.select("src", "dst").where("src <> dst").distinct())
+    count = left.count()
+    while count:
+        left = pin(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, count = count, left.count()
+        if count == before:
+            break
+    back = left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+    def paths(over: DataFrame, steps: int) -> list[DataFrame]:
+        """Of 1, 2, ... edges: root, end, inner (the nodes between)."""
+        out = [over.where("dst > src").select(F.col("src").alias("root"), F.col("dst").alias("end"), F.array().cast(T.ArrayType(over.schema["dst"].dataType)).alias("inner"))]
+        for _ in range(steps - 1):
+            longer = out[-1].join(over, F.col("end") == F.col("src")).where((F.col("dst") > F.col("root")) & (F.col("dst") != F.col("end")) & ~F.array_contains("inner", F.col("dst")))
+            out.append(pin(longer.select("root", F.col("dst").alias("end"), F.concat("inner", F.array("end")).alias("inner"))))
+        return out
+
+    there, back_again = paths(left, (length + 1) // 2), paths(back, max(length // 2, 1))
+    found = None
+    for n in range(2, length + 1):
+        a = there[(n + 1) // 2 - 1]
+        b = back_again[n // 2 - 1].withColumnRenamed("inner", "home")
+        met = a.join(b, ["root", "end"]).where(~F.arrays_overlap("inner", "home")).select(F.concat(F.array("root"), F.col("inner"), F.array("end"), F.reverse("home")).alias("nodes"))
+        found = met if found is None else found.unionByName(met)
+    return found

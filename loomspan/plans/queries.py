@@ -362,3 +362,46 @@ e AS (SELECT a.place, a.l, a.run, max(b.place) FILTER (b.place < a.place AND b.l
 SELECT coalesce(before, lo) AS "first", coalesce(after, hi) - coalesce(before, lo) AS n, l::bigint AS length FROM e""")
 def lcp_intervals(documents):
     return S.intervals(S.common_prefixes(S.suffixes(_tokens(documents)), 50), nested=True)
+
+
+_LINES = "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"
+
+
+def _lines(lineitem):
+    """From the part of each order line to that of the next one: many edges a part. Spread over tasks at any size."""
+    here = lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"))
+    after = lineitem.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
+    return here.join(after, ["l_orderkey", "l_linenumber"]).select("src", "dst").distinct()
+
+
+@query(f"WITH RECURSIVE e AS ({_LINES}), r(node) AS (SELECT min(l_partkey) FROM lineitem UNION SELECT dst FROM e JOIN r ON src = node) SELECT node FROM r")
+def reachability_spread(lineitem):
+    return R.closure(_lines(lineitem), lineitem.agg(F.min("l_partkey").alias("node")), local_edges=0)
+
+
+def _least_labels(rounds: int = 12) -> str:
+    out = f"e AS ({_LINES}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), x0 AS (SELECT DISTINCT src AS node, src AS l FROM b)"
+    for i in range(rounds):
+        out += f", x{i + 1} AS (SELECT node, least(any_value(x.l), min(y.l)) AS l FROM x{i} x JOIN b ON src = node JOIN (SELECT node AS other, l FROM x{i}) y ON dst = other GROUP BY node)"
+    return out
+
+
+@query(f"WITH {_least_labels()} SELECT node, l AS component FROM x12")
+def components_spread(lineitem):
+    """No two parts of a component are more than 12 steps apart, so SQL takes as many."""
+    return R.components(_lines(lineitem), local_edges=0)
+
+
+@query(f"""WITH e AS ({_LINES}), f AS (SELECT src, dst FROM e WHERE src <> dst)
+SELECT a.src || '>' || a.dst AS cycle FROM f a JOIN f b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
+UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst FROM f a JOIN f b ON a.dst = b.src JOIN f c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst""")
+def short_cycles(lineitem):
+    return R.short_cycles(_lines(lineitem), 3).select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("cycle"))
+
+
+def strong_components_spread(spark, sf_dir):
+    """No SQL, as its recursion would make all pairs of a component; tested against brute force."""
+    return R.strongly_connected(_lines(spark.read.parquet(f"{sf_dir}/lineitem.parquet")), local_edges=0)
+
+
+QUERIES["strong_components_spread"] = strong_components_spread

@@ -26,7 +26,7 @@ def rows(df):
     return sorted(map(repr, df[cols].astype(object).where(df[cols].notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(spark, duck, name):
     ours, sql = QUERIES[name](spark, str(SF)).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     assert sorted(ours.columns) == sorted(sql.columns)
