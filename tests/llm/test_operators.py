@@ -587,6 +587,33 @@ def test_url_filters_propagate(spark):
     assert {r[0]: r[1:] for r in c.sql(f"SELECT page_id, host, path, rule, verdict FROM ({url_filters.OP10_SQL})").fetchall()} == got
 
 
+def test_trust_is_shared_and_hosts_without_pages_count(spark):
+    """One of a trusted hub's thousand links clears nobody; a blocked host that only links know makes its linkers suspect."""
+    import duckdb
+
+    hub = " ".join(f"<a href='https://site{i}.net/'>" for i in range(1000)) + "<a href='https://spam.net/'>"
+    rows = [(1, "https://hub.org/", hub), (2, "https://spam.net/", "<a href='https://shop.com/de/1'>"), (3, "https://twin.net/", "<a href='//shop.com/de/2'>"), (4, "https://fair.net/", "<a href='//shop.com/de/2'><a href='//shop.com/x'><a href='//a.net'><a href='//b.net'>")]
+    rows += [(10 + i, f"https://ring{i}.net/", f"<a href='https://ring{(i + 1) % 5}.net/'>" + ("<a href='//shop.com/de/9'>" if i == 0 else "")) for i in range(5)]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages(spark, rows)).collect()}
+    assert [got[i][3] for i in (1, 2, 3, 4)] == ["allow", "block", "block", "allow"]
+    c = duckdb.connect()
+    c.register("pages", pages(spark, rows).toPandas())
+    assert {r[0]: r[1:] for r in c.sql(f"SELECT page_id, host, path, rule, verdict FROM ({url_filters.OP10_SQL})").fetchall()} == got
+
+
+def test_ranks_settle_where_a_linear_system_does(spark):
+    rng = np.random.default_rng(3)
+    n, links = 12, {(int(a), int(b)) for a, b in rng.integers(0, 12, (40, 2)) if a != b}
+    edges = spark.createDataFrame([(f"h{a}", f"h{b}", 1) for a, b in sorted(links)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("h0",), ("h1",)], "host string")
+    m = np.zeros((n, n))
+    for a, b in links:
+        m[b, a] = 0.85 * (b > 1) / sum(x == a for x, _ in links)
+    want = np.linalg.solve(np.eye(n) - m, [1.0, 1.0, *[0.0] * (n - 2)])
+    got = {r.host: r["rank"] for r in url_filters.propagate(seeds, url_filters._share(edges, seeds, "src", "dst")).collect()}
+    assert all(abs(got.get(f"h{i}", 0) - x) < 1e-3 for i, x in enumerate(want))
+
+
 def test_meeting_finds_what_brute_force_does(monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
