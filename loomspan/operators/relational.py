@@ -106,6 +106,43 @@ def contained(inner: DataFrame, outer: DataFrame, key: str, at: str, start: str,
     return keyed.join(found, ["_point", "_at"], "left_semi").drop("_point", "_at")
 
 
+def enclosing(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
+    """`points` with start and end of the last span of the same keys to begin at or before `at` that is still open there, or null.
+
+    Of nested spans that is the innermost, so a name that is used binds to the declaration of the nearest scope around it;
+    of spans that begin together the shortest. Points and spans are sorted together and swept once with a stack, as many
+    rows as both have; keys with many pass through a task as a stream. `at`, `start` and `end` are whole numbers; null
+    keys and places have no span around them.
+    """
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    fine = points.where(" and ".join(f"`{c}` is not null" for c in [*keys, at]))
+    both = fine.select(*named, F.col(at).cast("long").alias("_at"), F.lit(None).cast("long").alias("_end")).distinct().unionByName(spans.where(F.col(end) >= F.col(start)).select(*named, F.col(start).cast("long").alias("_at"), F.col(end).cast("long").alias("_end")))
+    by = [f"_k{i}" for i in range(len(keys))]
+    swept = both.repartition(*by).sortWithinPartitions(*by, "_at", F.desc_nulls_last("_end"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, open_ = None, []
+        for b in it:
+            keep, starts, ends = [], [], []
+            for *k, place, last in zip(*(b.column(c).to_pylist() for c in (*by, "_at", "_end")), strict=True):
+                if k != now:
+                    now, open_ = k, []
+                keep.append(last is None)
+                if last is not None:
+                    open_.append((place, last))
+                    continue
+                while open_ and open_[-1][1] < place:
+                    open_.pop()
+                starts.append(open_[-1][0] if open_ else None)
+                ends.append(open_[-1][1] if open_ else None)
+            kept = b.filter(pa.array(keep, pa.bool_())).drop_columns(["_end"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], [*kept.schema.names, start, end])
+
+    kinds = [*(f"{c} {spans.schema[k].dataType.simpleString()}" for c, k in zip(by, keys, strict=True)), "_at long", f"`{start}` long", f"`{end}` long"]
+    found = swept.mapInArrow(run, ", ".join(kinds))
+    return points.join(found, [F.col(k) == F.col(c) for k, c in zip([*keys, at], [*by, "_at"], strict=True)], "left").drop(*by, "_at")
+
+
 def covered(rows: DataFrame, keys: list[str], start: str, end: str, weight: str) -> DataFrame:
     """Rows whose span lies within that of another row of the same keys with a greater weight; no column is null.
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.operators.patterns import indexed
 from loomspan.sources import projects, tables
 from loomspan.sources.globs import any_of
 from loomspan.sources.projects import Project, is_source
@@ -163,8 +164,9 @@ def unused(spark: SparkSession, project: Project, used: set[str], jsx: bool) ->
     if not left or not wanted:
         return rows
     read = projects.texts(spark, project.root, wanted)
-    found = read.agg(*(F.bool_or(F.col("content").rlike(imported(n))).alias(f"n{i}") for i, n in enumerate(left))).first()
-    return rows.where(~F.col("package").isin([n for i, n in enumerate(left) if found[f"n{i}"]]))
+    patterns = spark.createDataFrame([(n, imported(n)) for n in left], "name string, pattern string")
+    found = indexed(read.select("content"), "content", patterns, "pattern", "name").select(F.col("name").alias("package")).distinct()
+    return rows.join(found, "package", "left_anti")
 
 
 def _section(x: object, name: str) -> dict:

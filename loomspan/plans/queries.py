@@ -11,6 +11,7 @@ from loomspan.functions.text import basename, dirname, guard, posix
 from loomspan.operators import relational as R
 from loomspan.operators import suffixes as S
 from loomspan.operators.durable import small
+from loomspan.operators.patterns import indexed
 from loomspan.plans import analyze as A
 from loomspan.plans.dependencies import token
 from loomspan.plans.entries import Entries
@@ -405,3 +406,22 @@ def strong_components_spread(spark, sf_dir):
 
 
 QUERIES["strong_components_spread"] = strong_components_spread
+
+
+@query("""SELECT DISTINCT page_id, o_orderkey FROM (SELECT page_id, unnest(regexp_extract_all(url, '/([0-9]+)', 1)) AS k FROM pages) JOIN orders ON o_orderkey::varchar = k""")
+def pattern_index_join(pages, orders):
+    """A pattern for every order: its number as a whole part of a path. SQL reads the numbers out of the urls instead."""
+    literal = F.concat(F.lit("/"), F.col("o_orderkey").cast("string"))
+    patterns = orders.select("o_orderkey", literal.alias("literal"), F.concat(literal, F.lit("([^0-9]|$)")).alias("pattern"))
+    return indexed(pages.select("page_id", "url"), "url", patterns, "pattern", "literal").select("page_id", "o_orderkey")
+
+
+@query("""WITH s AS (SELECT user_id, (event_id // w) * w AS a, (event_id // w) * w + w - 1 AS b FROM (SELECT user_id, event_id, (1 << (event_id % 13))::bigint AS w FROM events WHERE event_type <> 'view'))
+SELECT event_id, user_id, (SELECT max(a) FROM s WHERE s.user_id = e.user_id AND e.event_id BETWEEN a AND b) AS a,
+(SELECT min(b) FROM s WHERE s.user_id = e.user_id AND e.event_id BETWEEN a AND b) AS b FROM events e""")
+def enclosing_interval_join(events):
+    """Each event in the narrowest of its user's nested blocks of event numbers."""
+    width = F.pow(F.lit(2.0), F.col("event_id") % 13).cast("long")
+    low = F.floor(F.col("event_id") / width) * width
+    blocks = events.where("event_type <> 'view'").select("user_id", low.alias("a"), (low + width - 1).alias("b"))
+    return R.enclosing(events.select("event_id", "user_id"), blocks, ["user_id"], "event_id", "a", "b")
