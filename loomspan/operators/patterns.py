@@ -40,3 +40,29 @@ def indexed(rows: DataFrame, text: str, patterns: DataFrame, pattern: str, liter
     own = F.unhex(F.sha2(F.col(text).cast("binary"), 256))
     found = rows.withColumn("_key", own).join(fits, "_key").drop("_key")
     return found.join(patterns, F.col("_pattern") == patterns[pattern]).drop("_pattern")
+
+
+def wildcard(rows: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """`rows` with the pattern of at most one `*` that fits the text best, and what the star stands for; null if none does.
+
+    A pattern without a star fits the equal text and goes before all others; then the longest part before the star decides,
+    then the longest behind it. The lengths of these two parts that occur are a small table (grouped, then collected); each
+    different text is cut by each of them, and the cuts meet the patterns by equality. `rows` must not have columns of the
+    names matched and star.
+    """
+    star = F.instr(pattern, "*")
+    named = patterns.where(F.col(pattern).isNotNull()).select(F.col(pattern).alias("matched"), star.alias("at")).distinct()
+    exact = named.where("at = 0").select("matched")
+    parts = named.where("at > 0").select("matched", F.substring("matched", 1, F.col("at") - 1).alias("before"), F.expr("substring(matched, at + 1)").alias("after"))
+    parts = pin(parts)
+    lengths = parts.select(F.length("before").alias("b"), F.length("after").alias("a"))
+    shapes = sorted(tuple(r) for r in lengths.distinct().collect())
+    texts = rows.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")).distinct()
+    cuts = F.array(*(F.when(F.length("_text") >= b + a, F.struct(F.substring("_text", 1, b).alias("before"), (F.right("_text", F.lit(a)) if a else F.lit("")).alias("after"))) for b, a in shapes)) if shapes else F.expr("cast(array() as array<struct<before: string, after: string>>)")
+    tried = texts.select("_text", F.explode(cuts).alias("cut")).where("cut is not null").select("_text", "cut.*")
+    met = tried.join(small(parts), ["before", "after"])
+    inner = F.expr("substring(_text, length(before) + 1, length(_text) - length(before) - length(after))")
+    loose = met.groupBy("_text").agg(F.max(F.struct(F.length("before").alias("b"), F.length("after").alias("a"), "matched", inner.alias("star"))).alias("best")).select("_text", "best.matched", "best.star")
+    same = texts.join(exact, F.col("_text") == F.col("matched"), "left_semi").select("_text", F.col("_text").alias("matched"), F.lit(None).cast("string").alias("star"))
+    found = same.unionByName(loose.join(same, "_text", "left_anti"))
+    return rows.join(found, F.col(text) == F.col("_text"), "left").drop("_text")

@@ -11,7 +11,7 @@ from loomspan.functions.text import basename, dirname, guard, posix
 from loomspan.operators import relational as R
 from loomspan.operators import suffixes as S
 from loomspan.operators.durable import small
-from loomspan.operators.patterns import indexed
+from loomspan.operators.patterns import indexed, wildcard
 from loomspan.plans import analyze as A
 from loomspan.plans.dependencies import token
 from loomspan.plans.entries import Entries
@@ -425,3 +425,32 @@ def enclosing_interval_join(events):
     low = F.floor(F.col("event_id") / width) * width
     blocks = events.where("event_type <> 'view'").select("user_id", low.alias("a"), (low + width - 1).alias("b"))
     return R.enclosing(events.select("event_id", "user_id"), blocks, ["user_id"], "event_id", "a", "b")
+
+
+_WILD = """SELECT DISTINCT CASE WHEN p_size % 9 = 0 THEN p_name ELSE left(p_name, 1 + p_size % 5) || '*' || CASE WHEN p_size % 4 = 0 THEN '' ELSE right(p_name, p_size % 4) END END AS pattern FROM part"""
+
+
+@query(f"""WITH w AS (SELECT pattern, instr(pattern, '*') AS st FROM ({_WILD})),
+m AS (SELECT p_partkey, pattern, CASE WHEN st > 0 THEN p_name[st : length(p_name) - (length(pattern) - st)] END AS star, CASE WHEN st = 0 THEN 1000 ELSE st - 1 END AS b, length(pattern) - st AS a FROM part JOIN w
+ON CASE WHEN st = 0 THEN p_name = pattern ELSE length(p_name) >= length(pattern) - 1 AND starts_with(p_name, pattern[: st - 1]) AND ends_with(p_name, pattern[st + 1 :]) END)
+SELECT p.p_partkey, p.p_name, arg_max(pattern, (b, a)) AS matched, CASE WHEN max(b) < 1000 THEN arg_max(star, (b, a)) END AS star FROM part p LEFT JOIN m USING (p_partkey) GROUP BY ALL""")
+def wildcard_join(part):
+    """Parts' names against patterns cut from all of them: most with a star within, some without."""
+    after = F.when(F.col("p_size") % 4 == 0, "").otherwise(F.right("p_name", F.col("p_size") % 4))
+    cut = F.when(F.col("p_size") % 9 == 0, F.col("p_name")).otherwise(F.concat(F.substring("p_name", F.lit(1), F.lit(1) + F.col("p_size") % 5), F.lit("*"), after))
+    return wildcard(part.select("p_partkey", "p_name"), "p_name", part.select(cut.alias("pattern")), "pattern")
+
+
+def _spread_names(rounds: int = 10) -> str:
+    out = f"e AS ({_LINES}), x0 AS (SELECT p_partkey AS path, p_brand AS name, p_partkey AS origin, 0 AS hops FROM part)"
+    for i in range(rounds):
+        out += f", x{i + 1} AS (SELECT * FROM x{i} UNION ALL SELECT src, name, arg_min(origin, (dst, origin)), {i + 1} FROM (SELECT * FROM x{i} WHERE hops = {i}) JOIN e ON dst = path WHERE (src, name) NOT IN (SELECT (path, name) FROM x{i}) GROUP BY src, name)"
+    return out
+
+
+@query(f"WITH {_spread_names()} SELECT path, name, origin, hops FROM x10")
+def expanded_names(part, lineitem):
+    """Every brand that a part hands on along order lines, by its fewest hops; fewer than ten in this graph."""
+    own = part.select(F.col("p_partkey").alias("path"), F.col("p_brand").alias("name"))
+    stars = _lines(lineitem).select(F.col("src").alias("path"), F.col("dst").alias("to"), F.col("dst").alias("line"))
+    return A.expanded_exports(own, stars).select("path", "name", "origin", "hops")
