@@ -238,15 +238,15 @@ def used_names_fixpoint(part):
     return A.used_exports(part.select(F.col("p_partkey").alias("path"), brand.alias("name")), exports).select("path", "name")
 
 
-@query("""WITH own AS (SELECT DISTINCT p_name AS name, p_partkey AS path, p_size % 2 = 0 AS typed FROM part), e AS (SELECT DISTINCT l_suppkey + 1000000000 AS src, l_partkey AS dst FROM lineitem WHERE l_quantity > 40),
-pass AS (SELECT p_partkey AS src, p_partkey + 1 AS dst FROM part WHERE p_size < 5), g AS (SELECT name FROM own GROUP BY name HAVING count(DISTINCT path) >= 2 AND NOT (count(*) FILTER (typed) = 1 AND count(*) FILTER (NOT typed) = 1)),
+@query("""WITH own AS (SELECT DISTINCT p_name AS name, p_partkey AS path, p_size % 2 = 0 AS typed FROM part), e AS (SELECT DISTINCT l_suppkey + 1000000000 AS src, l_partkey AS dst FROM lineitem),
+pass AS (SELECT p_partkey AS src, p_partkey + p_size AS dst FROM part), g AS (SELECT name FROM own GROUP BY name HAVING count(DISTINCT path) >= 2 AND NOT (count(*) FILTER (typed) = 1 AND count(*) FILTER (NOT typed) = 1)),
 r AS (SELECT DISTINCT name, path FROM own WHERE name IN (SELECT name FROM g) AND NOT EXISTS (SELECT 1 FROM pass JOIN own o ON o.path = pass.dst WHERE pass.src = own.path AND o.name = own.name)),
 shared AS (SELECT DISTINCT name FROM (SELECT name, src FROM r JOIN e ON e.dst = r.path GROUP BY name, src HAVING count(DISTINCT path) >= 2))
 SELECT name, count(*) AS n, min(path) AS first, max(path) AS last FROM r WHERE name IN (SELECT name FROM shared) GROUP BY name HAVING count(*) >= 2""")
 def shared_consumer_duplicates(part, lineitem):
     own = part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("path"), (F.col("p_size") % 2 == 0).alias("type_only"))
-    edges = lineitem.where("l_quantity > 40").select((F.col("l_suppkey") + 1_000_000_000).alias("src"), F.col("l_partkey").alias("dst")).distinct()
-    found = A.cross_file_duplicates(own, edges, part.where("p_size < 5").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst")))
+    edges = lineitem.select((F.col("l_suppkey") + 1_000_000_000).alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    found = A.cross_file_duplicates(own, edges, part.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size")).alias("dst")))
     return found.select("name", F.size("paths").cast("long").alias("n"), F.element_at("paths", 1).alias("first"), F.element_at("paths", -1).alias("last"))
 
 
