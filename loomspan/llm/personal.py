@@ -154,6 +154,9 @@ _DOTTED = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}+(?:(?:{_DOT}|\.)[0-9]{{1,3}}+){{
 #: Endings that a bare "x at y dot z" needs, as those words also make sentences.
 ENDINGS = frozenset("com org net edu gov mil int info biz name io co me app dev ai eu uk us ca au nz ie de at ch fr be lu es pt it nl se no dk fi pl cz mx ar br cl in jp cn kr example test invalid local".split())
 
+#: Words that make "x at the dot in" a sentence.
+ARTICLES = frozenset("the a an this that these those his her its my your our their each every some any all der die das den dem ein eine le la les un une el los las una".split())
+
 
 def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
     """Digits for words, in runs of three words side by side or of three dots. Words side by side make one number."""
@@ -204,6 +207,7 @@ def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
         if start == m.start() or m.start() < least:
             continue
         sure, edits = m[0] != "@" and re.search(r"[\[({<@]", m[0]) is not None, []
+        loud = m[0].strip() == "AT" and text[start : m.start()].upper() != text[start : m.start()]
         if m[0] != "@":
             edits.append((m.start(), m.end(), "@"))
         while (d := _DOT_BEFORE.search(text[max(least, start - 24) : start])) and re.search(r"[a-z\[]", d[0], re.I):
@@ -214,6 +218,8 @@ def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
             edits.append((before, end, "."))
             start = further
         label = _LABEL.match(text, m.end())
+        if label and m[0].strip().isalpha() and label[0].lower() in ARTICLES:
+            continue
         end, last, hidden = (label.end(), "", False) if label else (m.end(), "", False)
         while label:
             plain = _PLAIN_DOT.match(text, end)
@@ -227,7 +233,7 @@ def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
                 edits.append((dot.start(), dot.end(), "."))
                 hidden |= re.search(r"[a-z\[({<]", dot[0], re.I) is not None
             end, last = label.end(), label[0].lower()
-        if last and edits and len(last) >= 2 and not last.isdigit() and (hidden or m[0] == "@" or sure and (last in ENDINGS or m[0].strip() != "@")):
+        if last and edits and len(last) >= 2 and not last.isdigit() and (hidden or m[0] == "@" or sure and (last in ENDINGS or m[0].strip() != "@") or loud and last in ENDINGS):
             yield from sorted(edits)
             least = end
         elif last and m[0] == "@":
@@ -277,7 +283,7 @@ def deobfuscated(text: str) -> tuple[str, list[Layer]]:
         _unescaped if "&" in now or "%" in now else None,
         _mixed if _NEAR_DIGIT.search(now) else None,
         _spelled if "ddd" in roles or (dots and "d" in roles) else None,
-        _addresses if dots or opened or "@" in now or "&" in now or "%" in now else None,
+        _addresses if dots or opened or "@" in now or " AT " in now or "&" in now or "%" in now else None,
         _dotted,
     ]
     for step in steps:

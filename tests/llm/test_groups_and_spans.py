@@ -213,11 +213,16 @@ def test_disguised_identifiers_are_found_where_they_stand():
         assert [x[:3] for x in personal.spans_of(text) if x[4]] == plain_spans(text)
 
 
-@pytest.mark.parametrize("text", ["look at the dot on the map", "meet at example.com", "one two three, four", "He is at home. Dot com was big", "at 5 dot 30", "a cat at a mat", "un deux trois", "user@", "the point at issue. De facto", "IO10 lOl", "£5 at 10.30 – 11.00"])
+@pytest.mark.parametrize("text", ["look at the dot on the map", "Look at the dot in the corner", "She stared at a point in time", "MEET AT EXAMPLE.COM", "jane at home. In short", "meet at example.com", "one two three, four", "He is at home. Dot com was big", "at 5 dot 30", "a cat at a mat", "un deux trois", "user@", "the point at issue. De facto", "IO10 lOl", "£5 at 10.30 – 11.00"])
 def test_clean_text_stays_clean(text):
     assert personal.spans_of(text) == []
 
 
+@pytest.mark.parametrize("text, value", [("jane AT example.com", "jane@example.com"), ("x jane.doe at mail dot example dot co dot uk y", "jane.doe@mail.example.co.uk"), ("max arroba ejemplo punto es", "max@ejemplo.es"), ("max (ät) beispiel (punkt) de", "max@beispiel.de"), ("<a@b.co> (at) c [.] org", "a@b.co")])
+def test_addresses_in_words(text, value):
+    assert value in [x[3] for x in personal.spans_of(text)]
+
+
 def test_layers_lead_back():
     """Against a text in which every character carries its place."""
     rng = random.Random(1)
