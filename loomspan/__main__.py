@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--paths", nargs="+", default=[], metavar="ALIAS=TARGET", help="path mappings, such as @app/*=src/*")
     p.add_argument("--report-types", action="store_true")
     p.add_argument("--include-entry-exports", action="store_true")
+    p.add_argument("--compat", action="store_true", help="report duplicate blocks of every interval of the suffix array, nested ones as well")
     p.add_argument("--json", action="store_true")
     p.add_argument("--fail-on-issues", action="store_true")
     p.add_argument("--fail-on-cycles", action="store_true")
@@ -69,7 +70,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     if not (root / "package.json").is_file():
         print("no package.json: dependencies are not checked", file=sys.stderr)
     spark = spark or SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    options = Options(entries=tuple(given.entry), ignore=tuple(given.ignore), extensions=tuple(given.extensions), paths=_mappings(given.paths), tsconfig=given.tsconfig, report_types=given.report_types, entry_exports=given.include_entry_exports)
+    options = Options(entries=tuple(given.entry), ignore=tuple(given.ignore), extensions=tuple(given.extensions), paths=_mappings(given.paths), tsconfig=given.tsconfig, report_types=given.report_types, entry_exports=given.include_entry_exports, compat=given.compat)
     found = analyze(spark, projects.load(str(root)), options)
     issues = cycles = False
     if given.json:

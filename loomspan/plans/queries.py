@@ -262,9 +262,20 @@ kept AS (SELECT * FROM apart JOIN (SELECT block, count(*) AS instances, count(DI
 inside AS (SELECT block, count(*) AS m, any_value(instances) AS instances FROM kept i WHERE EXISTS (SELECT 1 FROM kept o WHERE o.doc_id = i.doc_id AND o.instances = i.instances AND o.block <> i.block AND i.start_line >= o.start_line AND i.end_line <= o.end_line AND i.tokens < o.tokens) GROUP BY block)
 SELECT doc_id::varchar AS path, start_line::int AS start_line, end_line::int AS end_line, instances, tokens, CASE WHEN docs >= 2 THEN 'high' ELSE 'medium' END AS confidence FROM kept WHERE block NOT IN (SELECT block FROM inside WHERE m = instances)""")
 def repeated_blocks(documents):
+    return A.duplicate_blocks(_token_lists(documents), A.Options()).drop("block")
+
+
+def _token_lists(documents):
     lines = F.transform(F.split("text", "\n"), lambda t, i: F.transform(F.split(t, " "), lambda w: F.struct(w.alias("token"), (i + 1).cast("int").alias("line"))))
-    facts = documents.where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.flatten(lines).alias("tokens"))
-    return A.duplicate_blocks(facts, A.Options()).drop("block")
+    return documents.where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.flatten(lines).alias("tokens"))
+
+
+def nested_blocks(spark, sf_dir):
+    """No SQL, as greedy parting of overlapping copies is a sequence; tested against a plain scan."""
+    return A.duplicate_blocks(_token_lists(spark.read.parquet(f"{sf_dir}/documents.parquet")), A.Options(compat=True)).drop("block")
+
+
+QUERIES["nested_blocks"] = nested_blocks
 
 
 @query("""SELECT o_custkey, count(*) AS orders, max(o_totalprice) AS most, (count(*) >= 15)::int + (max(o_totalprice) >= 400000)::int + (count(DISTINCT o_orderpriority) >= 5)::int AS breaches,
