@@ -1,13 +1,15 @@
 """Quality rules: counts over whole texts, and perplexity under a modified Kneser-Ney model.
 
-The model is one of character 4-grams for each language, counted over the whole corpus by Spark: each
-task adds up what it reads, and the sums are grouped by n-gram, so the model grows with the corpus and no
-two n-grams share a count. Continuation counts, discounts and probabilities are joins and aggregations of
+The model is one of character 4-grams for each language, counted over every distinct line of the whole
+corpus by Spark, so that neither copies nor near copies nor passages that many documents share make a text
+less surprising. Each task adds up what it reads, and the sums are grouped by n-gram, so the model grows
+with the corpus and no two n-grams share a count. Continuation counts, discounts and probabilities are joins and aggregations of
 that table. It is stored by 64-bit hash; the `FREQUENT` most frequent n-grams, a bounded number at any
 corpus size, go to every task as sorted hash arrays, and what a text has of all others is joined to the
-stored table. A text's score is that of its middle segment, ranked by perplexity, so a passage in another
-language or a key in a good text does not decide. Each language's own distribution of scores, by length of
-text, then gives a lower and an upper band outside of which documents are rejected.
+stored table. A text's score is the mean cost of all its characters, where a segment counts as far off at
+most as the ordinary segments of its language are, so a passage in another language or a key in a good text
+does not decide. Each language's own distribution of scores, by length of text, then gives a lower and an
+upper band outside of which documents are rejected.
 """
 
 from __future__ import annotations
@@ -29,14 +31,11 @@ SYMBOLS = "#*$%&|<>"
 FREQUENT = 1 << 20
 #: Characters handled at a time, distinct n-grams that a task holds, and the code point that pads the start of a text.
 SLAB, HELD, PAD = 1 << 18, 1 << 21, 2
-#: A text with more copies than one in so many rows is counted once; there are at most so many such texts.
-FOLDED = 50_000
 #: Characters of a segment.
 SEGMENT = 256
 #: Bands: the median of texts of like length, plus or minus so many median deviations, or bits over the root of the length
-#: if that is wider; how often as far the lower band lies, since text that many documents share is predictable but no junk; texts
-#: from which a length has a band of its own.
-DEVIATIONS, SHORT, BELOW, BAND_ROWS = 4.0, 3.0, 2.0, 50
+#: if that is wider; rows from which a length has a band of its own; as how many such bands of segments a segment counts at most.
+DEVIATIONS, SHORT, BAND_ROWS, REACH = 4.0, 3.0, 50, 1.5
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -162,33 +161,62 @@ class Counts:
         self.parts, self.size, self.last = [], 0, 0
 
 
-def folded(docs: DataFrame, most: int = FOLDED) -> DataFrame:
-    """`docs` (doc_id, text, lang) with the row of least id only of each text that has very many copies.
+def lines_of(text: str) -> dict[str, None]:
+    """The distinct lines of a text, each after the `ORDER - 1` characters before it; no part is longer than a slab."""
+    padded, at, out = chr(PAD) * (ORDER - 1) + text, ORDER - 1, {}
+    while at < len(padded):
+        end = min(padded.find("\n", at) + 1 or len(padded), at + SLAB)
+        out[padded[at - ORDER + 1 : end]] = None
+        at = end
+    return out
 
-    So a text is not the less surprising for being copied. Rows with one id and text are kept alike.
+
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """lang (a number), line: every different line of `docs` (text, lang) once, by its characters and those before it.
+
+    A line of any number of texts moves once from a task, so neither a hot text nor a hot line gathers anywhere.
     """
-    key = F.xxhash64("text", "lang")
-    groups = docs.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
-    rows = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = pin(groups.where(F.col("n") >= max(2, rows // most + 1)).select("key", "least"))  # `most` rows at most
-    met = docs.withColumn("key", key).join(F.broadcast(hot), "key", "left")
-    return met.where(F.col("least").isNull() | F.col("least").eqNullSafe(F.col("doc_id"))).select(*docs.columns)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([x for _, x in held], pa.string())], ["lang", "line"])
+
+        for b in it:
+            held, size = {}, 0
+            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
+                own = zlib.crc32(lang.encode())
+                for line in lines_of(text or ""):
+                    held[own, line] = None
+                    size += len(line)
+                    if size > 4 * SLAB:
+                        yield made()
+                        held, size = {}, 0
+            if held:
+                yield made()
+
+    return docs.select("text", "lang").mapInArrow(run, "lang long, line string").distinct()
 
 
 def ngrams(docs: DataFrame) -> DataFrame:
-    """lang (a number), gram, n: how often each n-gram of `ORDER` characters occurs in all of `docs` (text, lang)."""
+    """lang (a number), gram, n: how often each n-gram of `ORDER` characters occurs in all different lines of `docs` (text, lang)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counts()
         for b in it:
-            for codes, at, _, lang, _ in _slabs(b.column("text").to_pylist(), b.column("lang").to_pylist()):
-                gram = _columns(codes, at)
-                held.add(keys_of(gram, lang), np.ones(len(at), np.int64), np.stack([*gram, lang], axis=1))
+            slab = Slab()
+            langs, lines = b.column("lang").to_pylist(), b.column("line").to_pylist()
+            for nth, (lang, line) in enumerate(zip(langs, lines, strict=True), 1):
+                slab.add(0, lang, np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32), 0)
+                if slab.size >= SLAB or nth == len(lines):
+                    codes, at, _, own, _ = slab.laid()
+                    gram = _columns(codes, at)
+                    held.add(keys_of(gram, own), np.ones(len(at), np.int64), np.stack([*gram, own], axis=1))
+                    slab = Slab()
             if held.size > HELD:
                 yield from held.rows()
         yield from held.rows()
 
-    return docs.select("text", "lang").mapInArrow(run, "lang long, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return distinct_lines(docs).mapInArrow(run, "lang long, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _part(column: str, first: int, chars: int) -> Column:
@@ -283,16 +311,15 @@ class Costs:
 
 
 def scored(docs: DataFrame, most: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, n_chars, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits for every row.
+    """doc_id, lang, n_chars, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, segments for every row.
 
-    bits: the mean cost of a character in bits, log2 of the perplexity, of the text's middle segment by that
-    cost (the upper one of two); null for null and empty texts. A last segment of less than half the length
-    counts only if it is the only one.
+    segments: for each `SEGMENT` characters of the text in turn (the last ones may be fewer), their cost in
+    bits; null and empty texts have none.
     """
     spark = docs.sparkSession
     batches(spark)
     docs = only(docs, doc_id=id_col, text=text_col, lang=lang_col).withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    model = stored_model(folded(docs))
+    model = stored_model(docs)
     least = most_frequent(model, most)
     got = model.where(F.col("n") >= least).select("key", "bits").toArrow()  # at most `most` short rows
     shared = spark.sparkContext.broadcast(Costs(got.column("key").to_numpy(), got.column("bits").to_numpy()))
@@ -325,16 +352,31 @@ def scored(docs: DataFrame, most: int = FREQUENT, id_col: str = "doc_id", text_c
         rest = rest.join(model.where(F.col("n") < least).select("key", F.col("bits").alias("cost")), "key").groupBy("row", "segment").agg(F.sum(F.col("times") * F.col("cost")).alias("more"))
         rest = rest.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("segment", "more"))).alias("more"))
         rows = rows.join(rest, "row", "left").withColumn("segments", F.transform("segments", lambda x, i: x + F.coalesce(F.col("more")[i], F.lit(0.0))))
-    return rows.select("doc_id", "lang", "n_chars", *fields, middle(F.col("segments"), F.col("n_chars")).alias("bits"))
+    return rows.select("doc_id", "lang", "n_chars", *fields, "segments")
+
+
+def _size(i: Column) -> Column:
+    """Characters of segment `i` of a text."""
+    return F.least(F.lit(SEGMENT), F.col("n_chars") - i * SEGMENT)
+
+
+def mean_cost(low: Column | None = None, high: Column | None = None) -> Column:
+    """The mean cost of a character over all segments, log2 of the perplexity.
+
+    With `low` and `high` no segment counts as costing less or more a character than that; for segments of
+    fewer characters than `SEGMENT`, whose costs vary more, the two lie apart from their middle by the root more.
+    """
+    total = F.lit(0.0)
+    if low is None:
+        total = F.aggregate("segments", total, lambda s, x: s + x)
+    else:
 
+        def bounded(x: Column, i: Column) -> Column:
+            middle, wide = (low + high) / 2, (high - low) / 2 * F.sqrt(SEGMENT / _size(i))
+            return F.coalesce(F.greatest(F.least(x / _size(i), middle + wide), middle - wide), x / _size(i)) * _size(i)
 
-def middle(segments: Column, n_chars: Column) -> Column:
-    """The middle one of the segments' costs of a character."""
-    size = lambda i: F.least(F.lit(SEGMENT), n_chars - i * SEGMENT)
-    each = F.transform(segments, lambda x, i: F.struct((x / size(i)).alias("mean"), (size(i) >= SEGMENT // 2).alias("long")))
-    long = F.filter(each, lambda s: s["long"])
-    means = F.sort_array(F.transform(F.when(F.size(long) > 0, long).otherwise(each), lambda s: s["mean"]))
-    return F.when(n_chars > 0, F.element_at(means, F.floor(F.size(means) / 2).cast("int") + 1))
+        total = F.aggregate(F.transform("segments", bounded), total, lambda s, x: s + x)
+    return F.when(F.col("n_chars") > 0, total / F.col("n_chars"))
 
 
 def _spread(fair: DataFrame, keys: list[str]) -> DataFrame:
@@ -347,16 +389,25 @@ def _spread(fair: DataFrame, keys: list[str]) -> DataFrame:
 def judged(docs: DataFrame, deviations: float = DEVIATIONS, **cols: str) -> DataFrame:
     """`scored` with base_failed, bits, lower, upper and kept.
 
-    Null and empty texts fail the base rules. A null language is a language of its own, the same as an
-    empty one. Repeated rows are judged alike, and copies of a text count once for the bands. Lengths (powers of two) with fewer than `BAND_ROWS` texts of
-    a language have the band of all its texts. An empty table gives an empty result.
+    bits: the mean cost of a character over all segments, each counted within `REACH` times the band of its
+    language's segments (if there are `BAND_ROWS` whole ones); null for null and empty texts, which fail the
+    base rules. A null language is a language of its own, the same as an empty one. Repeated rows are judged
+    alike, and copies of a text count once for the bands, as do equal lines for the model, so verdicts don't
+    depend on how often a text is there. Lengths (powers of two) with fewer than `BAND_ROWS` texts of a language
+    have the band of all its texts. An empty table gives an empty result.
     """
-    rows = pin(scored(docs, **cols).withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)).withColumn("level", F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int")))
-    fair = rows.where(~F.col("base_failed") & F.col("bits").isNotNull()).select("lang", "level", "n_chars", "bits").distinct()  # copies count once
+    rows = scored(docs, **cols).withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
+    rows = pin(rows.withColumn("level", F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int")))
+    whole = F.slice("segments", 1, F.floor(F.col("n_chars") / SEGMENT).cast("int"))
+    each = pin(rows.where(~F.col("base_failed")).select("lang", F.explode(whole).alias("cost")).select("lang", (F.col("cost") / SEGMENT).alias("bits")).distinct())  # copies count once
+    wide = F.lit(REACH) * F.greatest(F.col("spread") * F.lit(deviations), F.lit(SHORT / SEGMENT**0.5))
+    bounds = _spread(each, ["lang"]).where(F.col("rows") >= BAND_ROWS).select("lang", (F.col("middle") - wide).alias("low"), (F.col("middle") + wide).alias("high"))
+    rows = rows.join(small(pin(bounds)), "lang", "left").withColumn("bits", mean_cost(F.col("low"), F.col("high"))).drop("segments", "low", "high")
+    fair = rows.where(~F.col("base_failed") & F.col("bits").isNotNull()).select("lang", "level", "n_chars", "bits").distinct()
     own = _spread(fair, ["lang", "level"]).where(F.col("rows") >= BAND_ROWS).select("lang", "level", F.col("middle").alias("own_middle"), F.col("spread").alias("own_spread"))
     out = rows.join(small(pin(_spread(fair, ["lang"]).drop("rows"))), "lang", "left").join(small(pin(own)), ["lang", "level"], "left")
     center, width = F.coalesce("own_middle", "middle"), F.greatest(F.coalesce("own_spread", "spread") * F.lit(deviations), F.lit(SHORT) / F.sqrt(F.greatest("n_chars", F.lit(1))))
-    out = out.withColumn("lower", center - F.lit(BELOW) * width).withColumn("upper", center + width).drop("level", "own_middle", "own_spread")
+    out = out.withColumn("lower", center - width).withColumn("upper", center + width).drop("level", "own_middle", "own_spread")
     within = F.coalesce(F.col("bits").between(F.col("lower"), F.col("upper")), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & within)
 

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.llm import decontamination, html_extraction, packing, quality, secrets, sharding, simhash, toxicity, url_filters, warc
 
@@ -289,7 +290,8 @@ def test_quality_counts():
 def brute_kneser_ney(texts, order=quality.ORDER):
     """bits of each text's characters in turn, by the textbook's recursion over plain dictionaries."""
     pad = chr(quality.PAD) * (order - 1)
-    counts = {order: Counter((pad + t)[i : i + order] for t in texts for i in range(len(t)))}
+    lines = {((pad + t)[m.start() : m.start() + order - 1], m[0]) for t in texts for m in re.finditer(r"[^\n]*\n|[^\n]+", t)}
+    counts = {order: Counter((before + x)[i : i + order] for before, x in lines for i in range(len(x)))}
     for n in range(order - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
     off = {}
@@ -320,20 +322,20 @@ def brute_kneser_ney(texts, order=quality.ORDER):
 def test_quality_model(spark, most):
     """Scores equal those of brute force, wherever an n-gram is looked up and however texts are cut."""
     rng = random.Random(7)
-    texts = ["".join(rng.choice("abcde \0é日\U0001f600") for _ in range(rng.randrange(1, 1500))) for _ in range(30)]
-    texts += [texts[0], "a"]
+    texts = ["".join(rng.choice("abcde \0é日\U0001f600\n") for _ in range(rng.randrange(1, 1500))) for _ in range(30)]
+    texts += [texts[0], "a", texts[1] + "\n" + texts[2], "a\n\n\na\n", "\n" * 9]
     want = brute_kneser_ney(dict.fromkeys(texts))  # a copy counts for nothing
     rows = [(i, t, "en") for i, t in enumerate(texts)] + [(100, "zzz yyy", "fr"), (101, "", "en"), (102, None, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
-    got = {r.doc_id: r.bits for r in quality.scored(frame, most=most).collect()}
+    scored = lambda table: quality.scored(table, most=most).select("doc_id", "n_chars", "segments", quality.mean_cost().alias("bits")).collect()
+    got = {r.doc_id: r.bits for r in scored(frame)}
     assert got[101] is None and got[102] is None and got[100] > 0
     if most:
         assert len(got) == len(rows)
-    alone = {r.doc_id: r.bits for r in quality.scored(frame.where("lang = 'en'"), most=most).collect()}
+    alone = {r.doc_id: r for r in scored(frame.where("lang = 'en'"))}
     for i, t in enumerate(texts):
         parts = [want[t][k : k + quality.SEGMENT] for k in range(0, len(t), quality.SEGMENT)]
-        means = sorted(np.mean(p) for p in ([p for p in parts if len(p) >= quality.SEGMENT // 2] or parts))
-        assert abs(alone[i] - means[len(means) // 2]) < 1e-4
+        assert np.allclose(alone[i].segments, [sum(p) for p in parts], atol=0.05) and abs(alone[i].bits - np.mean(want[t])) < 1e-4
 
 
 def test_quality_cuts_texts_without_loss(monkeypatch):
@@ -684,3 +686,38 @@ def test_quality_rejects_by_perplexity_alone(spark):
     assert not any(r.base_failed for r in out.values())
     assert not any(out[i].kept for i in range(150, 156)), [(r.bits, r.upper) for i, r in out.items() if i >= 150]
     assert sum(out[i].kept for i in range(150)) >= 148
+
+
+def _prose(rng, syllables, rows):
+    return [[rng.choice(syllables) + rng.choice(syllables) for _ in range(rng.randrange(80, 300))] for _ in range(rows)]
+
+
+def test_quality_bands_reject_each_alone_by_the_whole_text(spark):
+    """Text of few n-grams falls below the lower band, text of unknown ones above the upper one, also where less than half of it is so."""
+    rng = random.Random(5)
+    syllables = ["ea", "on", "er", "ti", "wh", "ou", "sh", "the", "an", "or", "ed", "st", "ing", "ble"]
+    prose = _prose(rng, syllables, 200)
+    dull = [[a + b for a, b in zip(rng.choices(["the", "the", "an"], k=150), rng.choices(["the", "ing"], k=150), strict=True)] for _ in range(3)]
+    noise = ["".join(rng.choice("BCDFGHJKLMNPQRSTVWXZ0123456789") for _ in range(6)) for _ in range(90)]
+    parts = [(prose[k] + prose[k + 3])[:160] + noise[k : k + 70] for k in range(3)]
+    clean = [p + noise[k : k + 4] for k, p in enumerate(_prose(rng, syllables, 3))]
+    texts = [" ".join(w) for w in [*prose, *dull, *parts, *clean]]
+    out = {r.doc_id // 7: r for r in quality.judged(table(spark, texts, [7 * i + 1 for i in range(len(texts))])).collect()}  # one language
+    assert all(not out[i].base_failed for i in range(200)) and sum(out[i].kept for i in range(200)) >= 195
+    assert all(out[i].bits < out[i].lower and not out[i].kept for i in range(200, 203)), [(out[i].bits, out[i].lower) for i in range(200, 203)]
+    assert all(out[i].bits > out[i].upper and not out[i].kept for i in range(203, 206)), [(out[i].bits, out[i].upper) for i in range(203, 206)]
+    assert all(out[i].kept for i in range(206, 209))
+
+
+def test_quality_verdicts_do_not_depend_on_copies(spark):
+    """The same rows ten times over, with other ids or the same, have the same scores and bands; so have near copies' lines in the model."""
+    rng = random.Random(6)
+    texts = [".\n".join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9)) for w in _prose(rng, WORDS[:20], 60)]
+    judged = lambda frame: {r.doc_id: (round(r.bits, 6), round(r.lower, 6), round(r.upper, 6), r.kept) for r in quality.judged(frame).collect()}
+    frame = table(spark, texts)
+    want = judged(frame)
+    more = frame.crossJoin(spark.range(10)).withColumn("doc_id", F.col("doc_id") + 1000 * F.col("id")).drop("id").repartition(5)
+    got = judged(more)
+    assert len(got) == 600 and all(got[i] == want[i % 1000] for i in got)
+    assert judged(frame.union(frame)) == want
+    assert quality.distinct_lines(frame.union(frame.withColumn("text", F.concat("text", F.lit("\nmore"))))).count() <= quality.distinct_lines(frame).count() + 2 * 60
