@@ -34,8 +34,10 @@ SLAB, HELD, PAD = 1 << 18, 1 << 21, 2
 #: Characters of a segment.
 SEGMENT = 256
 #: Bands: the median of texts of like length, plus or minus so many median deviations, or bits over the root of the length
-#: if that is wider; rows from which a length has a band of its own; as how many such bands of segments a segment counts at most.
-DEVIATIONS, SHORT, BAND_ROWS, REACH = 4.0, 3.0, 50, 1.5
+#: if that is wider; how often as far the lower band lies, since a large group of near copies is predictable but no junk; rows
+#: from which a length has a band of its own; as how many upper bands of segments a segment counts at most, either way (so
+#: the lower band rejects no text under about 450 characters).
+DEVIATIONS, SHORT, BELOW, BAND_ROWS, REACH = 4.0, 3.0, 2.0, 50, 1.5
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -407,7 +409,7 @@ def judged(docs: DataFrame, deviations: float = DEVIATIONS, **cols: str) -> Data
     own = _spread(fair, ["lang", "level"]).where(F.col("rows") >= BAND_ROWS).select("lang", "level", F.col("middle").alias("own_middle"), F.col("spread").alias("own_spread"))
     out = rows.join(small(pin(_spread(fair, ["lang"]).drop("rows"))), "lang", "left").join(small(pin(own)), ["lang", "level"], "left")
     center, width = F.coalesce("own_middle", "middle"), F.greatest(F.coalesce("own_spread", "spread") * F.lit(deviations), F.lit(SHORT) / F.sqrt(F.greatest("n_chars", F.lit(1))))
-    out = out.withColumn("lower", center - width).withColumn("upper", center + width).drop("level", "own_middle", "own_spread")
+    out = out.withColumn("lower", center - F.lit(BELOW) * width).withColumn("upper", center + width).drop("level", "own_middle", "own_spread")
     within = F.coalesce(F.col("bits").between(F.col("lower"), F.col("upper")), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & within)
 
