@@ -201,7 +201,8 @@ def first_candidate(asked: DataFrame, candidates: str, keyed: DataFrame, by: lis
 
     keyed: key, rank, path. Candidates meet them by equality; the earliest one wins, of one key the least rank.
     """
-    met = asked.select(*by, F.posexplode(candidates).alias("nth", "key")).join(keyed, "key")
+    best = keyed.groupBy("key").agg(F.min_by("path", F.struct("rank", "path")).alias("path"), F.min(F.struct("rank", "path")).alias("rank"))  # a row a key, so no more rows than candidates meet
+    met = asked.select(*by, F.posexplode(candidates).alias("nth", "key")).join(best, "key")
     return asked.join(met.groupBy(*by).agg(F.min_by("path", F.struct("nth", "rank", "path")).alias("to")), by, "left").drop(candidates)
 
 

@@ -35,3 +35,13 @@ def test_windows_are_shuffled_once(spark, monkeypatch):
             assert (first, last) == (pos + 1, pos + k)
         assert all(len(g) == 1 for g in grams.values()) and len(grams) == len({tuple(words[p : p + k]) for p in range(200 - k + 1)})
         assert [x[3] for x in rows if x[0] == "a"] == [x[2] for x in rows if x[0] == "a"][1:] + [None]
+
+
+def test_candidates_meet_one_row_a_key(spark):
+    """A key that 3000 rows have is asked for 3000 times: as pairs that would be 9 million rows."""
+    asked = spark.range(3000).selectExpr("id", "array(concat('none ', id), if(id % 2 = 0, 'hot', null), 'late') AS keys")
+    keyed = spark.range(3000).selectExpr("'hot' AS key", "5 - id % 3 AS rank", "id AS path").union(spark.sql("SELECT 'late', 1L, 7L"))
+    found = R.first_candidate(asked, "keys", keyed, ["id"])
+    assert {(r.id % 2, r.to) for r in found.collect()} == {(0, 2), (1, 7)}
+    assert found.count() == 3000
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2  # of the keys before, of the asked behind the join
