@@ -45,3 +45,16 @@ def test_candidates_meet_one_row_a_key(spark):
     assert {(r.id % 2, r.to) for r in found.collect()} == {(0, 2), (1, 7)}
     assert found.count() == 3000
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2  # of the keys before, of the asked behind the join
+
+
+def test_long_ways_into_rings_in_few_rounds(spark, monkeypatch):
+    """A way of 400 into a ring of 300, one of 300 to an end, one out of a ring, and a knot that has several ways."""
+    names = random.Random(4).sample(range(5000), 1500)
+    ring, into, out, apart, knot = names[:300], names[300:700], names[700:1000], names[1000:1300], names[1300:1306]
+    edges = list(zip(ring, [*ring[1:], ring[0]])) + list(zip(into, [*into[1:], ring[7]])) + [(knot[2], out[0])] + list(zip(out, out[1:])) + list(zip(apart, apart[1:]))
+    edges += [(a, b) for i, a in enumerate(knot) for b in knot[i + 1 :]] + [(knot[5], knot[0]), (apart[-1], knot[1]), (knot[3], into[5])]
+    seen = plans(monkeypatch, R)
+    frame = spark.createDataFrame(edges, "src int, dst int")
+    want = {(n, min(ring)) for n in ring} | {(n, min(knot)) for n in knot}
+    assert {(r.node, r.scc) for r in R.strongly_connected(frame, local_edges=0).collect()} == want
+    assert len(seen) < 120  # 300 and more when a chain lost an edge a turn
