@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from loomspan.operators.durable import pin, small
 
-#: Characters of a piece; shorter literals are a piece as a whole.
-PIECE = 3
+#: Most characters of a piece; literals of up to as many are a piece as a whole. Most different beginnings of pieces that are looked for by name.
+PIECE, HEADS = 8, 4096
 
 
-def _pieces(text: Column, size: int) -> Column:
-    """All different runs of `size` characters, in time that grows with the text's length."""
-    chars = F.split(text, "")
+def _pieces(chars: Column, size: int) -> Column:
+    """All different runs of `size` of a text's characters (an array, cut up before), in time that grows with their number."""
     last = F.size(chars) - size
     return F.array_distinct(F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(*(F.get(chars, i + j) for j in range(size)))))
 
@@ -23,15 +22,20 @@ def indexed(rows: DataFrame, text: str, patterns: DataFrame, pattern: str, liter
 
     `literal` is a part that every fit holds as it stands, not null and not empty. Of each literal's pieces the one that the fewest
     texts hold is looked up among the texts' pieces, by equality; what meets is then tried for the whole. Texts are cut up
-    once, however many patterns there are, and equal ones count as one; a null text fits nothing. The columns of the two
+    once, however many patterns there are, and equal ones count as one; a null text fits nothing. Pieces of a text that begin
+    like no literal's are not shuffled, unless the beginnings (two characters) are very many. The columns of the two
     tables differ. A pattern whose rarest piece is common meets as many texts as hold it, and no fewer would do.
     """
     texts = pin(rows.where(F.col(text).isNotNull()).select(F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("_key"), F.col(text).alias("_text")).dropDuplicates(["_key"]))
     wanted = pin(patterns.where(F.length(literal) > 0).select(F.col(pattern).alias("_pattern"), F.col(literal).alias("_literal")).distinct())
     sizes = sorted(r[0] for r in wanted.select(F.least(F.length("_literal"), F.lit(PIECE))).distinct().collect()) or [PIECE]
-    by_size = F.when(F.length("_literal") >= PIECE, _pieces(F.col("_literal"), PIECE)).otherwise(F.array("_literal"))
+    by_size = F.when(F.length("_literal") > PIECE, _pieces(F.split("_literal", ""), PIECE)).otherwise(F.array("_literal"))
     parts = wanted.select("_pattern", "_literal", F.explode(by_size).alias("_piece"))
-    cut = texts.select("_key", F.explode(F.concat(*(_pieces(F.col("_text"), n) for n in sizes))).alias("_piece"))
+    cut = texts.select("_key", F.split("_text", "").alias("_chars")).select("_key", F.explode(F.concat(*(_pieces(F.col("_chars"), n) for n in sizes))).alias("_piece"))
+    head = F.substring("_piece", 1, 2)
+    heads = [r[0] for r in parts.select(head).distinct().limit(HEADS + 1).collect()]
+    if len(heads) <= HEADS:
+        cut = cut.where(head.isin(heads))
     postings = pin(cut.join(small(parts.select("_piece").distinct()), "_piece", "left_semi"))
     held = parts.join(postings.groupBy("_piece").agg(F.count("*").alias("_n")), "_piece", "left")
     rarest = held.groupBy("_pattern", "_literal").agg(F.min_by("_piece", F.struct(F.coalesce("_n", F.lit(0)), "_piece")).alias("_piece"))

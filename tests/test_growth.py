@@ -2,10 +2,10 @@
 
 import random
 
-import pytest
-
+from loomspan.operators import patterns as P
 from loomspan.operators import relational as R
 from loomspan.plans import analyze as A
+from loomspan.plans.queries import QUERIES
 
 
 def plans(monkeypatch, module):
@@ -58,3 +58,19 @@ def test_long_ways_into_rings_in_few_rounds(spark, monkeypatch):
     want = {(n, min(ring)) for n in ring} | {(n, min(knot)) for n in knot}
     assert {(r.node, r.scc) for r in R.strongly_connected(frame, local_edges=0).collect()} == want
     assert len(seen) < 120  # 300 and more when a chain lost an edge a turn
+
+
+def test_numbers_as_patterns_meet_few_texts(spark, monkeypatch):
+    """Numbers share their short pieces: looked up by those, 200 urls were posted some 1500 times, and met all patterns."""
+    rows, pin = [], P.pin
+    monkeypatch.setattr(P, "pin", lambda df: rows.append(pin(df)) or rows[-1])
+    texts = spark.range(200).selectExpr("id", "concat('http://a.b/en/', 123400 + id) AS url")
+    patterns = spark.range(300).selectExpr("concat('/', 123300 + id) AS literal", "concat('/', 123300 + id, '([^0-9]|$)') AS pattern").union(spark.sql("SELECT 'http://a.b/en/12350', 'http://a.b/en/12350[0-4]$'"))
+    found = sorted((r.id, r.literal) for r in P.indexed(texts, "url", patterns, "pattern", "literal").collect())
+    assert found == sorted([(i, f"/{123400 + i}") for i in range(200)] + [(100 + i, "http://a.b/en/12350") for i in range(5)])
+    assert rows[2].where("_piece like '/1%'").count() <= 400
+
+
+def test_duplicates_are_counted_without_lists(spark):
+    found = QUERIES["shared_consumer_duplicates"](spark, "/root/testdata/sf0.001")
+    assert "collect_" not in found._jdf.queryExecution().optimizedPlan().toString()
