@@ -74,3 +74,23 @@ def test_numbers_as_patterns_meet_few_texts(spark, monkeypatch):
 def test_duplicates_are_counted_without_lists(spark):
     found = QUERIES["shared_consumer_duplicates"](spark, "/root/testdata/sf0.001")
     assert "collect_" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_travel_in_packs(spark):
+    """What is sent along a statement is one row, however many names it hands on; one statement may lead to several files."""
+    rng = random.Random(11)
+    own = {(p, f"n{rng.randrange(12)}") for p in range(20) for _ in range(3)}
+    stars = {(rng.randrange(20), rng.randrange(20), rng.randrange(3)) for _ in range(45)}
+    want = {k: (k[0], 0, None) for k in own}
+    for hops in range(1, 30):
+        found = {}
+        for path, to, line in stars:
+            for (p, name), (origin, h, _) in want.items():
+                if p == to and h == hops - 1 and (path, name) not in want:
+                    found[path, name] = min(found.get((path, name), (line, origin)), (line, origin))
+        want |= {k: (origin, hops, line) for k, (line, origin) in found.items()}
+    frames = spark.createDataFrame(sorted(own), "path int, name string"), spark.createDataFrame(sorted(stars), "path int, to int, line int")
+    made = A.expanded_exports(*frames)
+    assert {(r.path, r.name): (r.origin, r.hops, r.line) for r in made.collect()} == want
+    assert len({(p, n) for p, _, n in stars}) < len(stars)  # some statements lead to several files
+    assert "inline" in made._jdf.queryExecution().optimizedPlan().toString()  # rows are parted at the end
