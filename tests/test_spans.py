@@ -73,3 +73,17 @@ def test_nested_blocks(spark, seed):
     for rows in both.values():
         lengths = [(r.end_line - r.start_line, r.tokens) for r in rows]
         assert lengths == sorted(lengths, reverse=True)
+
+
+def test_nested_blocks_list_few_copies(spark, monkeypatch):
+    """Of 20 copies only what begins where they do is listed, not what begins at each later word; of a word said 60 times on one line nothing."""
+    rng, k = random.Random(5), 10
+    piece = [rng.choice("abc") for _ in range(40)]
+    files = {f"f{i:02d}": [f"x{i}", *piece, f"y{i}"] for i in range(20)} | {f"r{i}": ["q", *piece[:12] * 3, f"z{i}"] for i in range(2)}
+    facts = spark.createDataFrame([(f, [(t, i + 1) for i, t in enumerate(ts)]) for f, ts in files.items()] + [("one", [("w", 1)] * 60)], "path string, tokens array<struct<token:string,line:int>>")
+    listed, apart = [], R.apart
+    monkeypatch.setattr(R, "apart", lambda rows, *a: listed.append(rows) or apart(rows, *a))
+    got = duplicate_blocks(facts, Options(block_tokens=k, block_lines=2, compat=True)).collect()
+    assert sorted((r.path, r.start_line, r.end_line, r.instances, r.tokens) for r in got) == nested(files, k)
+    assert listed[0].count() < 1500  # 31 times 20 * 20 / 2 and more before
+    assert listed[0].where("tokens < 12").count() < 150
