@@ -94,3 +94,21 @@ def test_names_travel_in_packs(spark):
     assert {(r.path, r.name): (r.origin, r.hops, r.line) for r in made.collect()} == want
     assert len({(p, n) for p, _, n in stars}) < len(stars)  # some statements lead to several files
     assert "inline" in made._jdf.queryExecution().optimizedPlan().toString()  # rows are parted at the end
+
+
+def test_dense_graphs_are_labelled_by_a_share_of_their_edges(spark, monkeypatch):
+    """Three knots of 150 nodes with 30 edges each, one way from knot to knot, and sparse nodes around; labels never travel over all edges."""
+    rng = random.Random(7)
+    names = rng.sample(range(10_000), 520)
+    knots = [names[i : i + 150] for i in (0, 150, 300)]
+    edges = {(a, b) for knot in knots for a in knot for b in rng.sample(knot, 30) if a != b}
+    edges |= {(rng.choice(knots[i]), rng.choice(knots[j])) for i, j in ((0, 1), (1, 2), (0, 2)) for _ in range(40)}
+    around = names[450:]
+    edges |= {(knots[0][3], around[0]), (around[0], knots[0][9]), (knots[2][1], around[2]), (around[2], around[3]), (around[3], around[2])} | set(zip(around[10:], around[11:]))
+    carried, first = [], R._first_that_reaches
+    monkeypatch.setattr(R, "_first_that_reaches", lambda over, *a, **b: (carried.append(over.count()), first(over, *a, **b))[1])
+    want = {(n, min([*knots[0], around[0]])) for n in [*knots[0], around[0]]} | {(n, min(k)) for k in knots[1:] for n in k} | {(n, min(around[2:4])) for n in around[2:4]}
+    frame = spark.createDataFrame(sorted(edges), "src int, dst int").selectExpr("lpad(src, 5, '0') AS src", "lpad(dst, 5, '0') AS dst")
+    got = R.strongly_connected(frame, local_edges=0).collect()
+    assert len(got) == len(want) and {(int(r.node), int(r.scc)) for r in got} == want
+    assert max(carried) < len(edges) / 2
